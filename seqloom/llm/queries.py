@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op10_ngram_join
+from .packing import op9_packing
+from .substring_dedup import op8_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_ngram_join,)}
+    return {f.__name__: f for f in (op8_substring_dedup, op9_packing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
