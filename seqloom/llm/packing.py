@@ -46,7 +46,7 @@ class Encoder:
     def _fresh(self, units: list[str]) -> list[bytes]:
         """Ids of many units: those that begin with a space are encoded end to end and told apart by their bytes."""
         out: dict[str, bytes] = {}
-        spaced = [x for x in units if x[0] == " " and len(x) > 1 and not x[-1].isspace() and not x[1].isspace()]
+        spaced = [x for x in units if x[:1] == " " and len(x) > 1 and not x[-1].isspace() and not x[1].isspace()]
         blocks = [spaced[i : i + 256] for i in range(0, len(spaced), 256)]
         for block, got in zip(blocks, self.tokenizer.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
@@ -61,26 +61,28 @@ class Encoder:
         return [out[x] for x in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo, parts, todo = self.memo, [], {}
-        if len(memo) > MEMO:
-            memo.clear()
+        """Ids of each text. A word's key in the memo lacks the space before it; words that start a text are rare."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        find, parts, todo, odd = self.memo.get, [], {}, {}
         for text in texts:
-            if _BOUND.search(text):
-                units = [text]
-            else:
-                units = text.split(" ")
-                units[1:] = [" " + x for x in units[1:]]
-                if not units[0]:
-                    del units[0]
-            parts.append(units)
-            todo.update(dict.fromkeys(x for x in units if x not in memo))
-        whole = {}
-        if todo:
-            names = list(todo)
-            for name, ids in zip(names, self._fresh(names)):
-                (memo if len(name) < 64 else whole)[name] = ids
-        find = memo.__getitem__
-        return [b"".join([whole[x] if x in whole else find(x) for x in units] if whole else map(find, units)) for units in parts]
+            units = [text] if _BOUND.search(text) else text.split(" ")
+            got = list(map(find, units[1:]))
+            parts.append((units, got))
+            odd[units[0]] = None
+            if None in got:
+                todo.update((x, None) for x, ids in zip(units[1:], got) if ids is None)
+        fresh = dict(zip(todo, self._fresh([" " + x for x in todo])))
+        odd = dict(zip(odd, self._fresh([x for x in odd]))) if odd else odd
+        for x, ids in fresh.items():
+            if len(x) < 64:
+                self.memo[x] = ids
+        out = []
+        for units, got in parts:
+            if None in got:
+                got = [fresh[x] if ids is None else ids for x, ids in zip(units[1:], got)]
+            out.append(odd[units[0]] + b"".join(got))
+        return out
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
