@@ -5,9 +5,13 @@ two sets then differ in at most |A xor B| blocks, and Jaccard >= t bounds |A xor
 first D + 1 non-empty blocks of the shorter prefix at least one is equal (pigeonhole), and equal blocks are an equi-join.
 Blocks are counted per size band, and a set near the lower edge of its band is also a guest in the band below.
 
-Within the documents that share a block every one is compared with the smallest id (a star). Where a star leaves several
-components, members of different components are compared too; for a block shared by more than ``HOT`` documents that is
-needed only for documents of which so many blocks are hot that the pigeonhole bound no longer gives them another block.
+Shingles that many sets hold would link strangers, so blocks are made of the others: with more than half of a set left, its
+remaining blocks still outnumber D (space 0). A set with no more than half left is poor. It sends blocks of all its shingles
+(space 1), and so does each set that could be similar to a poor one; strangers meet there only if one of them is poor.
+
+Within the documents that share a block every one is compared with a first one (a star). Where a star leaves several
+components, members of different components are compared too. Documents send some blocks more than the bound needs, and may
+leave out as many of their hottest blocks there.
 """
 
 from __future__ import annotations
@@ -16,16 +20,20 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from .filters import BitFilter
 from .graphs import components
 
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
 #: Bits of the sketch that is compared before the texts are, in 64-bit words.
 SKETCH_WORDS = 8
-HOT = 48
+#: Blocks sent beyond what the pigeonhole bound asks for: a share of the set, and the least.
+SLACK_PART, SLACK = 12, 3
+#: Sets, counted in blocks of TOKENS shingles, from which on a shingle is frequent.
+FREQUENT, TOKENS, MOST_BITS = 16, 1 << 21, 27
 #: log2 of the bits in the filter that spares unneeded texts; a fuller filter lets more texts pass, nothing else.
 FILTER_BITS = 23
 
@@ -64,20 +72,21 @@ class Blocks:
         return int(n * (1 / self.t + 1) * (1 - self.t) / (1 + self.t) + 1e-9)
 
     def wanted(self, n: int) -> int:
-        return self.differing(n) + 1 + max(2, n // 16)
+        return self.differing(n) + 1 + max(SLACK, n // SLACK_PART)
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
+    def bands(self, n: int) -> list[int]:
+        """The band of a set's size, and the one below if a set of that band can be similar to it."""
         own = int(np.searchsorted(self.low, n, "right")) - 1
-        out = [self._in_band(tokens, own)]
-        if own and np.ceil(n * self.t - 1e-9) < self.low[own]:
-            out.append(self._in_band(tokens, own - 1))
-        return np.concatenate(out)
-
-    def _in_band(self, tokens: np.ndarray, band: int) -> np.ndarray:
-        wanted, above = self.wanted(len(tokens)), int(self.low[band + 1])
-        salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        if above <= 64:  # each token is a block of its own
+        return [own, own - 1] if own and np.ceil(n * self.t - 1e-9) < self.low[own] else [own]
+
+    def keys(self, tokens: np.ndarray, n: int, space: int) -> np.ndarray:
+        """Keys of ``tokens``, which are all or some of a set of ``n``."""
+        return np.concatenate([self._in_band(tokens, n, band, space) for band in self.bands(n)])
+
+    def _in_band(self, tokens: np.ndarray, n: int, band: int, space: int) -> np.ndarray:
+        wanted, above = self.wanted(n), int(self.low[band + 1])
+        salt = np.uint64((2 * band + space + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        if above <= 64 or not len(tokens):  # each token is a block of its own
             return C.mixed(tokens[:wanted] ^ salt)
         block = (tokens >> np.uint64(32)) * np.uint64(above // 2) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -107,92 +116,132 @@ def _describe(batches):
         )
 
 
-def _emit(batches):
-    blocks, seen = Blocks(), set()
+def _fresh_sets(batches):
+    """(doc, set) of the sets that the task has not seen; equal sets are joined by their hash elsewhere."""
+    seen = set()
     for part in C.chunks(batches):
-        keys, owners = [], []
         for doc, (_, s) in zip(part.column(0).to_pylist(), shingle_sets(part.column(1))):
-            if not len(s) or doc is None:
+            same = (len(s), int(s.sum(dtype=np.uint64)), int(s[0])) if len(s) else None
+            if same is not None and doc is not None and same not in seen:
+                seen.add(same)
+                yield doc, s
+
+
+def _repeated(batches):
+    """(token, n): shingles that several sets of a block hold."""
+    held, size = [], 0
+
+    def count():
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(_signed(token[n > 1])), pa.array(n[n > 1])], names=["token", "n"])
+
+    for _, s in _fresh_sets(batches):
+        held.append(s)
+        size += len(s)
+        if size > TOKENS:
+            yield count()
+            held, size = [], 0
+    if held:
+        yield count()
+
+
+def _emit(frequent: BitFilter):
+    """Rows (key, doc, rank): rank 0 for a poor set's blocks, 1 for a guest's among those, 2 for blocks without frequent shingles."""
+
+    def run(batches):
+        blocks, out, size = Blocks(), [], 0
+        for doc, s in _fresh_sets(batches):
+            n = len(s)
+            if not blocks.differing(n):
                 continue
-            same = (len(s), int(s.sum(dtype=np.uint64)), int(s[0]))
-            if same in seen:  # an equal set of this task has sent its blocks; equal sets are joined by their hash
-                continue
-            seen.add(same)
-            if blocks.differing(len(s)):
-                found = blocks.keys(s)
-                keys.append(found)
-                owners.append(np.full(len(found), doc, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(owners))], names=["key", "doc"])
+            rare = s[~frequent.hit_hashes(s)]
+            poor = 2 * len(rare) <= n
+            todo = ([] if poor else [(rare, 0, 2)]) + ([(s, 1, 0 if poor else 1)] if 8 * len(rare) <= 7 * n else [])
+            for tokens, space, rank in todo:
+                keys = blocks.keys(tokens, n, space)
+                out.append((keys, np.full(len(keys), doc, np.int64), np.full(len(keys), rank, np.int8)))
+                size += len(keys)
+            if size > 1 << 16:
+                yield _rows(out)
+                out, size = [], 0
+        if out:
+            yield _rows(out)
+
+    return run
+
+
+def _rows(parts):
+    key, doc, rank = (np.concatenate(x) for x in zip(*parts))
+    return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(doc), pa.array(rank)], names=["key", "doc", "rank"])
 
 
 def _stars(batches):
-    """All rows of a partition, grouped by key: those with a partner, each with the smallest id and the size of its group."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    """All rows of a partition, grouped by key: those with a partner, each with the group's first document and its size.
+
+    Poor sets come first. A group of guests only is left out: its members meet in space 0.
+    """
+    got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
     if not got:
         return
-    key, doc = (np.concatenate(x) for x in zip(*got))
+    key, doc, rank = (np.concatenate(x) for x in zip(*got))
     del got
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    order = np.lexsort((doc, rank, key))
+    key, doc, rank = key[order], doc[order], rank[order]
     del order
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
+    keep = np.repeat((size > 1) & (rank[start] != 1), size)
     leader, size = np.repeat(doc[start], size), np.repeat(size, size)
-    key, doc, leader, size = (x[size > 1] for x in (key, doc, leader, size))
     for a in range(0, len(key), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in (key, doc, leader, size)], names=["key", "doc", "leader", "size"])
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed number of bits that tells which ids may be in ``ids`` (one column, node)."""
-    at = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
-    rows = ids.select(F.floor(at / 32768).cast("int").alias("block"), (at % 32768).alias("bit")).groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
-    out = np.zeros(((1 << FILTER_BITS) // 32768, 4096), np.uint8)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.reshape(-1)
-
+        part = slice(a, a + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(x[part][keep[part]]) for x in (key, doc, leader, size, rank)], names=["key", "doc", "leader", "size", "rank"])
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, tokens) of the documents in ``ids`` and of a few others."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bitmap(ids))
-
-    def sets(batches):
-        for part in C.chunks(b.filter(_hit(b.column(2), bits.value)) for b in batches):
-            found = [s for _, s in shingle_sets(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), C.list_column(_signed(np.concatenate(found)), np.array([len(s) for s in found]), pa.int64())], names=["node", "tokens"])
-
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))).mapInArrow(sets, "node long, tokens array<long>")
 
-
-def _hit(at: pa.Array, bits: np.ndarray) -> pa.Array:
-    at = at.to_numpy(zero_copy_only=False).astype(np.int64)
-    return pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+def _similar(batches):
+    """The (a, b) of those rows (a, b, text_a, text_b) whose texts' sets are similar."""
+    t, u = SIMILARITY.numerator, SIMILARITY.denominator
+    for batch in batches:
+        for part in C.chunks([batch], "text_a"):
+            keep = []
+            for (_, p), (_, q) in zip(shingle_sets(part.column(2)), shingle_sets(part.column(3))):
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both * u >= (len(p) + len(q) - both) * t)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
 
 def _near(side: DataFrame, tag: str) -> DataFrame:
     return side.select(*(F.col(c).alias(f"{c}_{tag}") for c in side.columns))
 
 
-def _possible():
-    """Sizes and sketches of x and y allow the similarity."""
-    apart = sum((F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(SKETCH_WORDS)), F.lit(0))
+def _sizes():
+    """The sizes of x and y allow the similarity."""
     a, b = F.col("n_shingles_x"), F.col("n_shingles_y")
+    return SIMILARITY.denominator * F.least(a, b) >= SIMILARITY.numerator * F.greatest(a, b)
+
+
+def _sketched(pairs: DataFrame, lead: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and sketches allow the similarity: unequal bits bound the difference from below."""
+    both = pairs.join(_near(lead, "x").withColumnRenamed("first_x", "a"), "a").join(_near(lead, "y").withColumnRenamed("first_y", "b"), "b")
+    apart = sum((F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(SKETCH_WORDS)), F.lit(0))
     t, u = SIMILARITY.numerator, SIMILARITY.denominator
-    return (u * F.least(a, b) >= t * F.greatest(a, b)) & (apart * (t + u) <= (a + b) * (u - t))
+    return both.where(_sizes() & (apart * (t + u) <= (F.col("n_shingles_x") + F.col("n_shingles_y")) * (u - t))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets are similar."""
+    """Those of ``pairs`` (a, b) whose shingle sets are similar. Texts that no pair needs stay where they are."""
     pairs = C.kept(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = C.kept(_sets_of(docs, ids).join(ids, "node", "left_semi"), "sets")
-    x, y = (sets.select(F.col("node").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("tokens_a").alias("p"), F.size("tokens_b").alias("q"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
-    t, u = SIMILARITY.numerator, SIMILARITY.denominator
-    return both.where((F.col("both") * u) >= (F.col("p") + F.col("q") - F.col("both")) * t).select("a", "b")
+    need = BitFilter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), FILTER_BITS)
+
+    def wanted(batches):
+        for b in batches:
+            got = need.hit_rows(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(got), b.column(1).filter(got)], names=["node", "text"])
+
+    texts = docs.where("doc_id is not null").select("doc_id", "text", need.slot("doc_id")).mapInArrow(wanted, "node long, text string")
+    x, y = (texts.toDF(k, f"text_{k}") for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_similar, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,27 +261,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lead = members.where("doc_id = first").drop("doc_id", "n_words").dropDuplicates(["first"])
     first_of = members.where("first is not null").select("doc_id", "first").distinct()
 
-    stars = docs.mapInArrow(_emit, "key long, doc long").repartition(C.partitions(spark), "key").mapInArrow(_stars, "key long, doc long, leader long, size long")
-    stars = C.kept(stars, "stars")
+    often = C.kept(docs.mapInArrow(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token"), "often")
+    frequent = BitFilter(often, min(MOST_BITS, max(20, 4 + often.count().bit_length())), hashed=True)
+    blocks = docs.mapInArrow(_emit(frequent), "key long, doc long, rank byte").repartition(C.partitions(spark), "key")
+    stars = C.kept(blocks.mapInArrow(_stars, "key long, doc long, leader long, size long, rank byte"), "stars")
     pairs = stars.where("doc <> leader").select("doc", "leader").distinct()
     pairs = pairs.join(first_of.toDF("doc", "x"), "doc").join(first_of.toDF("leader", "y"), "leader").where("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sides = pairs.join(_near(lead, "x").withColumnRenamed("first_x", "a"), "a").join(_near(lead, "y").withColumnRenamed("first_y", "b"), "b")
-    links = C.kept(_verified(sides.where(_possible()).select("a", "b"), docs), "links")
+    links = C.kept(_verified(_sketched(pairs, lead), docs), "links")
     root = C.kept(components(links), "roots")
 
-    # What the stars leave: blocks whose documents are still in several components.
+    # What the stars leave: blocks whose documents are still in several components. Two similar sets share more blocks
+    # than the smaller slack, so each document may leave out a quarter of its slack, and leaves out its hottest.
     owner = first_of.join(root.toDF("first", "root"), "first", "left").select("doc_id", "first", F.coalesce("root", "first").alias("root"))
-    rows = stars.where("size > 2").join(owner.withColumnRenamed("doc_id", "doc"), "doc").select("key", "size", "first", "root").distinct()
+    rows = stars.where("size > 2").join(owner.withColumnRenamed("doc_id", "doc"), "doc").select("key", "size", "first", "root", "rank").distinct()
     open_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = C.kept(rows.join(open_keys, "key", "left_semi"), "open")
-    slack = F.expr("1 + greatest(2, floor(n_shingles / 16))")
-    unsafe = rows.where(F.col("size") > HOT).groupBy("first").agg(F.count("*").alias("hot")).join(lead, "first").where(F.col("hot") >= slack).select("first")
-    live = rows.where(F.col("size") <= HOT).unionByName(rows.where(F.col("size") > HOT).join(unsafe, "first", "left_semi"))
-    live = live.join(lead, "first")
-    x, y = _near(live, "x").withColumnRenamed("key_x", "key"), _near(live, "y").withColumnRenamed("key_y", "key")
-    rest = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & (F.col("root_x") != F.col("root_y")) & _possible())
-    more = _verified(rest.select(F.col("first_x").alias("a"), F.col("first_y").alias("b")).distinct(), docs)
+    rows = rows.join(open_keys, "key", "left_semi").join(lead.select("first", "n_shingles"), "first")
+    spare = F.floor(F.greatest(F.lit(SLACK), F.floor(F.col("n_shingles") / SLACK_PART)) / 4)
+    hottest = Window.partitionBy("first").orderBy(F.desc("size"), "key")
+    rows = C.kept(rows.withColumn("rank", F.row_number().over(hottest)).where(F.col("rank") > spare).select("key", "first", "root", "n_shingles", "rank"), "open")
+    x, y = _near(rows, "x").withColumnRenamed("key_x", "key"), _near(rows, "y").withColumnRenamed("key_y", "key")
+    rest = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & (F.col("root_x") != F.col("root_y")) & (F.least("rank_x", "rank_y") != 1) & _sizes())
+    rest = rest.select(F.col("first_x").alias("a"), F.col("first_y").alias("b")).distinct()
+    more = _verified(_sketched(rest, lead), docs)
     root = components(C.kept(links.unionByName(more), "links"))
 
     return members.join(root.toDF("first", "root"), "first", "left").select("doc_id", "n_words", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first", "doc_id")).alias("component_id"))

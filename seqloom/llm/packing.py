@@ -22,7 +22,7 @@ from . import common as C
 
 LENGTH, PIECE, GROUP = 1024, 128, 192
 #: Words whose ids a worker remembers.
-MEMO = 600_000
+MEMO = 400_000
 END = b"\0\0\0\0"
 #: White space that a cut before a single space would part: such texts are encoded whole.
 _BOUND = re.compile(r"\s (?:\s|\Z)")
@@ -85,6 +85,14 @@ class Encoder:
         return out
 
 
+def encoder(path: str, held: dict = {}) -> Encoder:  # noqa: B006
+    """The worker's encoder for a file: later tasks go on with what earlier ones have remembered."""
+    if path not in held:
+        held.clear()
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
     """Indices of ``sizes`` in each of ``windows`` near-equal windows (Karmarkar-Karp)."""
     heap, blank = [], np.zeros(windows, np.int64)
@@ -126,7 +134,7 @@ FIELDS = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 def _pack(path: str, length: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder, rows, held = Encoder(path), [], []
+        words, rows, held = encoder(path), [], []
         sequence = TaskContext.get().partitionId() << 40
 
         def flush():
@@ -151,7 +159,7 @@ def _pack(path: str, length: int):
             return batch
 
         for part in C.chunks(batches):
-            for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([x or "" for x in part.column(1).to_pylist()])):
+            for doc, ids in zip(part.column(0).to_pylist(), words.encode([x or "" for x in part.column(1).to_pylist()])):
                 ids += END
                 total = len(ids) // 4
                 whole = total // length * length
