@@ -5,13 +5,12 @@ two sets then differ in at most |A xor B| blocks, and Jaccard >= t bounds |A xor
 first D + 1 non-empty blocks of the shorter prefix at least one is equal (pigeonhole), and equal blocks are an equi-join.
 Blocks are counted per size band, and a set near the lower edge of its band is also a guest in the band below.
 
-Shingles that many sets hold would link strangers, so blocks are made of the others: with more than half of a set left, its
-remaining blocks still outnumber D (space 0). A set with no more than half left is poor. It sends blocks of all its shingles
-(space 1), and so does each set that could be similar to a poor one; strangers meet there only if one of them is poor.
+Shingles that many sets hold would link strangers, so blocks are made of the others, as long as those blocks still outnumber D
+(space 0). A set with too few others is poor. It sends blocks of all its shingles (space 1), and so does each set that could be
+similar to a poor one; strangers meet there only if one of them is poor.
 
 Within the documents that share a block every one is compared with a first one (a star). Where a star leaves several
-components, members of different components are compared too. Documents send some blocks more than the bound needs, and may
-leave out as many of their hottest blocks there.
+components, members of different components are compared too.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -30,10 +29,16 @@ from .graphs import components
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
 #: Bits of the sketch that is compared before the texts are, in 64-bit words.
 SKETCH_WORDS = 8
-#: Blocks sent beyond what the pigeonhole bound asks for: a share of the set, and the least.
-SLACK_PART, SLACK = 12, 3
+#: Kinds of rows, added to the number of the set's shingles that are not frequent: poor sets 0, guests among them, space 0.
+GUEST, OPEN = 1 << 40, 1 << 41
+#: Share of a set that has to be left without frequent shingles, or the set is poor: above the differing share, 1/4.
+LEFT = 0.28
+#: Blocks of a sketch for each shingle of the largest set of a band: most blocks get one shingle or none.
+BLOCKS = 4
 #: Sets, counted in blocks of TOKENS shingles, from which on a shingle is frequent.
-FREQUENT, TOKENS, MOST_BITS = 16, 1 << 21, 27
+FREQUENT, TOKENS, MOST_BITS = 12, 1 << 22, 27
+#: Documents of a task that counts shingles: in few of them a frequent one would not show.
+COUNTED = 20_000
 #: log2 of the bits in the filter that spares unneeded texts; a fuller filter lets more texts pass, nothing else.
 FILTER_BITS = 23
 
@@ -72,7 +77,7 @@ class Blocks:
         return int(n * (1 / self.t + 1) * (1 - self.t) / (1 + self.t) + 1e-9)
 
     def wanted(self, n: int) -> int:
-        return self.differing(n) + 1 + max(SLACK, n // SLACK_PART)
+        return self.differing(n) + 1
 
     def bands(self, n: int) -> list[int]:
         """The band of a set's size, and the one below if a set of that band can be similar to it."""
@@ -88,7 +93,7 @@ class Blocks:
         salt = np.uint64((2 * band + space + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         if above <= 64 or not len(tokens):  # each token is a block of its own
             return C.mixed(tokens[:wanted] ^ salt)
-        block = (tokens >> np.uint64(32)) * np.uint64(above // 2) >> np.uint64(32)
+        block = (tokens >> np.uint64(32)) * np.uint64(BLOCKS * above) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         parity, at = np.bitwise_xor.reduceat(tokens, start)[:wanted], block[start][:wanted]
         return C.mixed(parity ^ C.mixed(at + salt))
@@ -146,7 +151,7 @@ def _repeated(batches):
 
 
 def _emit(frequent: BitFilter):
-    """Rows (key, doc, rank): rank 0 for a poor set's blocks, 1 for a guest's among those, 2 for blocks without frequent shingles."""
+    """Rows (key, doc, rank); rank tells the kind of the row and, in space 1, how many of the set's shingles are not frequent."""
 
     def run(batches):
         blocks, out, size = Blocks(), [], 0
@@ -155,11 +160,13 @@ def _emit(frequent: BitFilter):
             if not blocks.differing(n):
                 continue
             rare = s[~frequent.hit_hashes(s)]
-            poor = 2 * len(rare) <= n
-            todo = ([] if poor else [(rare, 0, 2)]) + ([(s, 1, 0 if poor else 1)] if 8 * len(rare) <= 7 * n else [])
+            poor = len(rare) <= LEFT * n + 2
+            # a set similar to a poor one has at most the poor one's others and D more
+            guest = len(rare) <= (LEFT + 0.25) * 1.25 * n + 4
+            todo = ([] if poor else [(rare, 0, OPEN)]) + ([(s, 1, len(rare) + (0 if poor else GUEST))] if guest else [])
             for tokens, space, rank in todo:
                 keys = blocks.keys(tokens, n, space)
-                out.append((keys, np.full(len(keys), doc, np.int64), np.full(len(keys), rank, np.int8)))
+                out.append((keys, np.full(len(keys), doc, np.int64), np.full(len(keys), rank, np.int64)))
                 size += len(keys)
             if size > 1 << 16:
                 yield _rows(out)
@@ -190,7 +197,7 @@ def _stars(batches):
     del order
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
-    keep = np.repeat((size > 1) & (rank[start] != 1), size)
+    keep = np.repeat((size > 1) & ((rank[start] < GUEST) | (rank[start] == OPEN)), size)
     leader, size = np.repeat(doc[start], size), np.repeat(size, size)
     for a in range(0, len(key), 1 << 16):
         part = slice(a, a + (1 << 16))
@@ -220,6 +227,16 @@ def _sizes():
     return SIMILARITY.denominator * F.least(a, b) >= SIMILARITY.numerator * F.greatest(a, b)
 
 
+def _ranks():
+    """One of x and y is poor, or both are in space 0; and their frequent and other shingles differ in number by little enough."""
+    r = {k: F.when(F.col(f"rank_{k}") >= OPEN, 0).otherwise(F.col(f"rank_{k}") % GUEST) for k in "xy"}
+    n = {k: F.col(f"n_shingles_{k}") for k in "xy"}
+    t, u = SIMILARITY.numerator, SIMILARITY.denominator
+    apart = F.abs(r["x"] - r["y"]) + F.abs(n["x"] - r["x"] - n["y"] + r["y"])
+    least = F.least("rank_x", "rank_y")
+    return ((least < GUEST) | (least >= OPEN)) & (apart * (t + u) <= (n["x"] + n["y"]) * (u - t))
+
+
 def _sketched(pairs: DataFrame, lead: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sizes and sketches allow the similarity: unequal bits bound the difference from below."""
     both = pairs.join(_near(lead, "x").withColumnRenamed("first_x", "a"), "a").join(_near(lead, "y").withColumnRenamed("first_y", "b"), "b")
@@ -261,27 +278,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lead = members.where("doc_id = first").drop("doc_id", "n_words").dropDuplicates(["first"])
     first_of = members.where("first is not null").select("doc_id", "first").distinct()
 
-    often = C.kept(docs.mapInArrow(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token"), "often")
+    often = C.kept(docs.coalesce(max(1, docs.count() // COUNTED)).mapInArrow(_repeated, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token"), "often")
     frequent = BitFilter(often, min(MOST_BITS, max(20, 4 + often.count().bit_length())), hashed=True)
-    blocks = docs.mapInArrow(_emit(frequent), "key long, doc long, rank byte").repartition(C.partitions(spark), "key")
-    stars = C.kept(blocks.mapInArrow(_stars, "key long, doc long, leader long, size long, rank byte"), "stars")
+    blocks = docs.mapInArrow(_emit(frequent), "key long, doc long, rank long").repartition(C.partitions(spark), "key")
+    stars = C.kept(blocks.mapInArrow(_stars, "key long, doc long, leader long, size long, rank long"), "stars")
     pairs = stars.where("doc <> leader").select("doc", "leader").distinct()
     pairs = pairs.join(first_of.toDF("doc", "x"), "doc").join(first_of.toDF("leader", "y"), "leader").where("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = C.kept(_verified(_sketched(pairs, lead), docs), "links")
     root = C.kept(components(links), "roots")
 
-    # What the stars leave: blocks whose documents are still in several components. Two similar sets share more blocks
-    # than the smaller slack, so each document may leave out a quarter of its slack, and leaves out its hottest.
+    # What the stars leave: blocks whose documents are still in several components.
     owner = first_of.join(root.toDF("first", "root"), "first", "left").select("doc_id", "first", F.coalesce("root", "first").alias("root"))
-    rows = stars.where("size > 2").join(owner.withColumnRenamed("doc_id", "doc"), "doc").select("key", "size", "first", "root", "rank").distinct()
+    rows = stars.where("size > 2").join(owner.withColumnRenamed("doc_id", "doc"), "doc").select("key", "first", "root", "rank").distinct()
     open_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = rows.join(open_keys, "key", "left_semi").join(lead.select("first", "n_shingles"), "first")
-    spare = F.floor(F.greatest(F.lit(SLACK), F.floor(F.col("n_shingles") / SLACK_PART)) / 4)
-    hottest = Window.partitionBy("first").orderBy(F.desc("size"), "key")
-    rows = C.kept(rows.withColumn("rank", F.row_number().over(hottest)).where(F.col("rank") > spare).select("key", "first", "root", "n_shingles", "rank"), "open")
+    rows = C.kept(rows.join(open_keys, "key", "left_semi").join(lead.select("first", "n_shingles"), "first"), "open")
     x, y = _near(rows, "x").withColumnRenamed("key_x", "key"), _near(rows, "y").withColumnRenamed("key_y", "key")
-    rest = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & (F.col("root_x") != F.col("root_y")) & (F.least("rank_x", "rank_y") != 1) & _sizes())
+    rest = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & (F.col("root_x") != F.col("root_y")) & _ranks() & _sizes())
     rest = rest.select(F.col("first_x").alias("a"), F.col("first_y").alias("b")).distinct()
     more = _verified(_sketched(rest, lead), docs)
     root = components(C.kept(links.unionByName(more), "links"))
