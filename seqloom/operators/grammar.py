@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..plans import nulls as N
 
-_BY = Window.partitionBy("book").orderBy("pos")
+
+def _by():
+    return Window.partitionBy("book").orderBy("pos")
 
 
 def bigrams(stream: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:
@@ -90,7 +92,7 @@ def ngram_top(stream: DataFrame, k: int, most: int) -> DataFrame:
 
 def projected(stream: DataFrame, core: tuple[str, ...]) -> DataFrame:
     """The stream of core symbols only, numbered anew, so that what stood apart becomes adjacent."""
-    return stream.where(F.col("sym").isin(*core)).select("book", (F.row_number().over(_BY) - 1).cast("long").alias("pos"), "sym")
+    return stream.where(F.col("sym").isin(*core)).select("book", (F.row_number().over(_by()) - 1).cast("long").alias("pos"), "sym")
 
 
 def adjacent_core(stream: DataFrame, core: tuple[str, ...]) -> DataFrame:
