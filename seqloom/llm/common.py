@@ -116,7 +116,7 @@ def hash_spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     total = np.zeros(len(codes) + 1, dtype=np.uint64)
     np.cumsum(codes * _powers(_BASE, len(codes)), out=total[1:])
-    return mixed((total[ends] - total[starts]) * _powers(_BASE_INVERSE, len(codes))[starts] + (ends - starts).astype(np.uint64))
+    return mixed((total[ends] - total[starts]) * _powers(_BASE_INVERSE, len(codes) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False) -> np.ndarray:
