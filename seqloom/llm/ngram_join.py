@@ -227,6 +227,13 @@ def _sizes():
     return SIMILARITY.denominator * F.least(a, b) >= SIMILARITY.numerator * F.greatest(a, b)
 
 
+def _sketches():
+    """The sketches of x and y differ in no more bits than the similarity allows."""
+    apart = sum((F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    t, u = SIMILARITY.numerator, SIMILARITY.denominator
+    return apart * (t + u) <= (F.col("n_shingles_x") + F.col("n_shingles_y")) * (u - t)
+
+
 def _ranks():
     """One of x and y is poor, or both are in space 0; and their frequent and other shingles differ in number by little enough."""
     r = {k: F.when(F.col(f"rank_{k}") >= OPEN, 0).otherwise(F.col(f"rank_{k}") % GUEST) for k in "xy"}
@@ -240,9 +247,7 @@ def _ranks():
 def _sketched(pairs: DataFrame, lead: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sizes and sketches allow the similarity: unequal bits bound the difference from below."""
     both = pairs.join(_near(lead, "x").withColumnRenamed("first_x", "a"), "a").join(_near(lead, "y").withColumnRenamed("first_y", "b"), "b")
-    apart = sum((F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    t, u = SIMILARITY.numerator, SIMILARITY.denominator
-    return both.where(_sizes() & (apart * (t + u) <= (F.col("n_shingles_x") + F.col("n_shingles_y")) * (u - t))).select("a", "b")
+    return both.where(_sizes() & _sketches()).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -292,11 +297,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     owner = first_of.join(root.toDF("first", "root"), "first", "left").select("doc_id", "first", F.coalesce("root", "first").alias("root"))
     rows = stars.where("size > 2").join(owner.withColumnRenamed("doc_id", "doc"), "doc").select("key", "first", "root", "rank").distinct()
     open_keys = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = C.kept(rows.join(open_keys, "key", "left_semi").join(lead.select("first", "n_shingles"), "first"), "open")
+    # the sketches go with the rows, so that the join itself turns strangers away and only likely pairs leave it
+    rows = C.kept(rows.join(open_keys, "key", "left_semi").join(lead, "first"), "open")
     x, y = _near(rows, "x").withColumnRenamed("key_x", "key"), _near(rows, "y").withColumnRenamed("key_y", "key")
-    rest = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & (F.col("root_x") != F.col("root_y")) & _ranks() & _sizes())
-    rest = rest.select(F.col("first_x").alias("a"), F.col("first_y").alias("b")).distinct()
-    more = _verified(_sketched(rest, lead), docs)
+    rest = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & (F.col("root_x") != F.col("root_y")) & _ranks() & _sizes() & _sketches())
+    more = _verified(rest.select(F.col("first_x").alias("a"), F.col("first_y").alias("b")).distinct(), docs)
     root = components(C.kept(links.unionByName(more), "links"))
 
     return members.join(root.toDF("first", "root"), "first", "left").select("doc_id", "n_words", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first", "doc_id")).alias("component_id"))
