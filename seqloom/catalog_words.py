@@ -10,6 +10,7 @@ from .config import PROFILES, profile_map
 from .functions import phonetics as P
 from .functions import stats as S
 from .operators import arrivals as A
+from .operators import controls as X
 from .operators import hierarchy as H
 from .operators import intervals as I  # noqa: E741
 from .operators import profiles as R
@@ -185,3 +186,26 @@ def _bridges(members):
     words = F.size(F.array_union("primary", "bridge"))
     both = both.where(~((F.size("primary") == 1) & (F.col("primary") == F.col("bridge"))) & (words >= 2))
     return both.select("key", F.size("primary").cast("long").alias("open_words"), F.size("bridge").cast("long").alias("closed_words"), words.cast("long").alias("words"))
+
+
+_PM = f"(SELECT unnest(range({PERMS})) AS perm_id)"
+_CL = "SELECT {k}metric, value FROM (SELECT {g} count(*) FILTER (value > 0 AND nx > 0) AS adjacent_active, count(*) FILTER (value > 0 AND NOT coalesce(pv > 0, false)) AS runs FROM (SELECT *, lead(value) OVER w AS nx, lag(value) OVER w AS pv FROM {t} WINDOW w AS (PARTITION BY {k}book ORDER BY i)) {by}) UNPIVOT (value FOR metric IN (adjacent_active, runs))"
+register(
+    "clustering_null", lambda s, d: X.clustering_null(_arrived(s, d), PERMS),
+    _arrivals_sql() + f""", rk AS (SELECT perm_id, book, i, value, row_number() OVER (PARTITION BY perm_id, book ORDER BY i) AS place, row_number() OVER (PARTITION BY perm_id, book ORDER BY md5(concat_ws('|', '1', perm_id, book, i)), i) AS drawn FROM ar, {_PM}),
+dv AS (SELECT s.perm_id, s.book, s.i, v.value FROM rk s JOIN rk v ON s.perm_id = v.perm_id AND s.book = v.book AND s.place = v.drawn),
+seen AS (SELECT metric, value AS observed FROM ({_CL.format(k='', g='', t='ar', by='')})), nulls AS ({_CL.format(k='perm_id, ', g='perm_id,', t='dv', by='GROUP BY perm_id')}) """ + summary_sql("metric", sd="stddev_pop"),
+)
+register(
+    "profile_within_null", lambda s, d: X.within_segment_null(R.positions(_arrived(s, d), "major", 5), 5, PERMS),
+    PROF + f""", ps AS (SELECT book, segment, i, {_NORM} AS bin, CAST(value AS DOUBLE) AS v FROM ps0), rk AS (SELECT perm_id, ps.*, row_number() OVER (PARTITION BY perm_id, book, segment ORDER BY i) AS place, row_number() OVER (PARTITION BY perm_id, book, segment ORDER BY md5(concat_ws('|', '1', perm_id, book, segment, i)), i) AS drawn FROM ps, {_PM}),
+dv AS (SELECT s.perm_id, s.bin, x.v FROM rk s JOIN rk x ON s.perm_id = x.perm_id AND s.book = x.book AND s.segment = x.segment AND s.place = x.drawn),
+seen AS (SELECT 'terminal_contrast' AS metric, avg(v) FILTER (bin = 4) - avg(v) FILTER (bin = 0) AS observed FROM ps), nulls AS (SELECT perm_id, 'terminal_contrast' AS metric, avg(v) FILTER (bin = 4) - avg(v) FILTER (bin = 0) AS value FROM dv GROUP BY perm_id) """ + summary_sql("metric", sd="stddev_pop"),
+)
+register(
+    "verse_allocation_null", lambda s, d: X.allocation_null(_arrived(s, d), "verse", PERMS),
+    _arrivals_sql() + f""", sz AS (SELECT book, count(DISTINCT verse_id) AS segments, count(*) FILTER (value > 0) AS active FROM ar GROUP BY book),
+seen AS (SELECT book, count(DISTINCT verse_id) FILTER (value > 0) / count(DISTINCT verse_id) AS observed FROM ar GROUP BY book),
+rk AS (SELECT perm_id, ar.book, verse_id, segments, active, row_number() OVER (PARTITION BY perm_id, ar.book ORDER BY md5(concat_ws('|', '1', perm_id, ar.book, i)), i) AS rk FROM ar JOIN sz USING (book), {_PM}),
+nulls AS (SELECT perm_id, book, count(DISTINCT verse_id) FILTER (rk <= active) / max(segments) AS value FROM rk GROUP BY perm_id, book) """ + summary_sql("book"),
+)
