@@ -4,14 +4,12 @@ Every window of ``WINDOW`` words is judged by its 64-bit fingerprints. Only wind
 anchor is the smallest hash of its eight-word runs, equal windows have equal anchors, and an anchor that only one text has
 rules out all its windows. Maximal spans of repeated windows are then cut out of the text.
 
-``reference_spans`` in suffix_automaton.py streams documents through broadcast automata of a bounded reference instead; for a
-corpus against itself that would send every document through every shard, so this module works on fingerprints (README).
+Automata of reference shards, broadcast, would send every document of a corpus through every shard when the corpus is its own
+reference; so this module works on fingerprints instead (README).
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
