@@ -2,8 +2,10 @@
 
 The page becomes a tree of elements. What is never article text (scripts, menus, forms, adverts, comments and the like, told by
 tag, role or class) leaves the tree. Each node's density is its characters per tag, damped by the share of its characters that
-are links; a node's density sum adds its children's densities. The node with the largest sum is taken, and the least density on
-its path from the body is the threshold that parents must reach to replace it.
+are links; a node's density sum adds its children's densities. The node with the largest sum is taken, or the article
+that holds it. Without an article the least density on the node's path from the body is a threshold: elements beside the path
+that reach it and are of a kind with the path's are parts of the article too. Nothing above ``main`` is looked at, and the body
+is never taken as a whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from . import common as C
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # HTML element kinds.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -29,6 +32,8 @@ _BLOCK = {
 }
 _DROPPED = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "input", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+_TEXT = {"blockquote", "dl", "figure", "ol", "p", "pre", "table", "ul"}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "blockquote"}
 # Words of class and id names, and roles, of what is no article text.
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
@@ -59,6 +64,7 @@ class _Page:
     def __init__(self, source: str):
         self.parent, self.tag = [-1], [""]
         self.gone, self.link, self.article = [False], [False], [False]
+        self.kind = [""]  # class names
         self.pieces: list[tuple[int, str | None]] = []  # None: a block begins or ends
         open_nodes, at = [0], 0
         match = _TOKEN.search(source)
@@ -97,6 +103,8 @@ class _Page:
         self.article.append(self.article[up] or tag in ("article", "main"))
         self.gone.append(self.gone[up] or _unwanted(tag, attributes, self.article[up]))
         self.link.append(self.link[up] or tag == "a")
+        named = _CLASS.search(attributes) if attributes else None
+        self.kind.append((named[1] or named[2] or named[3] or "").lower() if named else "")
         if tag not in _VOID and not attributes.endswith("/"):
             open_nodes.append(len(self.tag) - 1)
 
@@ -119,8 +127,8 @@ class _Page:
                 del open_nodes[k:]
                 return
 
-    def chosen(self) -> tuple[int, int]:
-        """First and last node of the subtree that holds the article."""
+    def chosen(self) -> list[tuple[int, int]]:
+        """First and last node of each part of the tree that the article is made of."""
         n = len(self.tag)
         chars, links, tags, link_tags, last = [0] * n, [0] * n, [0] * n, [0] * n, list(range(n))
         for node, text in self.pieces:
@@ -147,17 +155,58 @@ class _Page:
                 if i:
                     total[self.parent[i]] += density[i]
         best = max(range(body, n), key=lambda i: (total[i], -i)) if any(total) else body
-        path, node = [], best
-        while node > 0:
-            path.append(node)
-            node = self.parent[node]
-        threshold = min((density[i] for i in path), default=0.0)
-        for node in path:  # the widest ancestor that is still as dense, or the article that holds it
-            if density[node] >= threshold and (self.tag[node] in ("article", "main") or node == body) or self.tag[node] == "article":
-                best = node
-                if self.tag[node] == "article":
-                    break
-        return best, last[best]
+        path = [best]
+        while path[-1] > body:
+            path.append(self.parent[path[-1]])
+        articles = [i for i in path if self.tag[i] == "article"]
+        below, i = [], best + 1
+        while i <= last[best]:
+            if self.tag[i] == "article" and not self.gone[i]:
+                below.append(i)
+                i = last[i]
+            i += 1
+        if not articles and len(below) == 1:
+            articles = below
+        if articles:  # articles inside an article belong to it
+            return [(articles[-1], last[articles[-1]])]
+        inside: list[list[int]] = [[] for _ in range(n)]
+        for i in range(body + 1, n):
+            if not self.gone[i]:
+                inside[self.parent[i]].append(i)
+        threshold = min(density[i] for i in path)
+        whole = best == body or self.tag[best] == "main"
+        dense = max(inside[best], key=lambda i: density[i], default=best)
+        strict = whole or self.tag[dense] not in _TEXT
+        spans = [(best, best)]
+        for i in inside[best]:
+            if self.tag[i] in _BLOCK - _HEADINGS - {"p"}:
+                if 2 * links[i] > chars[i] or strict and density[i] < threshold and self.tag[i] not in _TEXT and not self._alike(i, dense, whole):
+                    continue
+            spans.append((i, last[i]))
+        if whole:
+            return spans
+        taken, titled = [], any(self.tag[i] == "h1" for i in range(best, last[best] + 1))
+        for node, up in zip(path, path[1:]):  # what stands beside the path and is as dense as the path itself
+            edge = up == body or self.tag[up] == "main"
+            group, at = inside[up], inside[up].index(node)
+            like = [i == node or density[i] >= threshold and self._alike(i, node, edge) for i in group]
+            low, high = like.index(True), len(like) - 1 - like[::-1].index(True)
+            while low and self.tag[group[low - 1]] in _HEADINGS and 2 * links[group[low - 1]] <= chars[group[low - 1]]:
+                low -= 1
+            taken += [i for k, i in enumerate(group[low : high + 1], low) if k != at and (like[k] or self.tag[i] in _HEADINGS)]
+            title = [i for i in group[:at] if self.tag[i] in ("h1", "hgroup") and 2 * links[i] <= chars[i] and i not in taken]
+            if title and not titled and not any(self.tag[i] == "h1" for i in taken):
+                taken.append(title[-1])
+            titled = titled or any(self.tag[i] in ("h1", "hgroup") for i in taken)
+            if edge:
+                break
+        return spans + [(i, last[i]) for i in taken]
+
+    def _alike(self, node: int, other: int, edge: bool) -> bool:
+        """Parts of one article: sections, elements of one kind and class, and inside a wrapper also plain text blocks."""
+        if self.tag[node] == "section" and self.tag[other] == "section" or self.tag[node] == self.tag[other] and self.kind[node] == self.kind[other] and (self.kind[node] or not edge):
+            return True
+        return not edge and (self.tag[node] in _TEXT or self.tag[node] == "section")
 
 
 def main_text(source: str | None) -> str:
@@ -165,10 +214,12 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _Page(source)
-    first, final = page.chosen()
+    inside = bytearray(len(page.tag))
+    for first, final in page.chosen():
+        inside[first : final + 1] = b"\1" * (final + 1 - first)
     blocks, held = [], []
     for node, text in page.pieces:
-        if first <= node <= final or text is None:
+        if inside[node] or text is None:
             if text is None:
                 block = " ".join("".join(held).split())
                 held = []

@@ -149,3 +149,34 @@ def test_mixing(spark):
 def test_html():
     page = '<body><div class="cookie-notice">We use cookies</div><article><h1>T</h1><p>One &amp; <b>two<br><p>three</article><footer>f</footer>'
     assert html_extract.main_text(page) == "T\n\nOne & two\n\nthree"
+
+
+def _page(body):
+    return html_extract.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>")
+
+
+PARAGRAPHS = [f"Paragraph {i} of the story, " + "with quite a lot of words in it, " * 6 + "and an end." for i in range(6)]
+STORY = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+MENU = '<div class="top"><a href="/a">Home page</a> <a href="/b">All the news</a> <a href="/c">Contact</a></div>'
+NOTE = '<div class="lower">This site keeps small files.</div>'
+COMMENTS = '<div class="talk"><div>Nice one.</div><div>I do not agree.</div></div>'
+
+
+@pytest.mark.parametrize("body", [
+    f"{MENU}<div class='c'>{STORY}</div>{NOTE}{COMMENTS}", f"<div>{MENU}<div class='c'>{STORY}</div>{NOTE}{COMMENTS}</div>", f"{MENU}<main>{STORY}</main>{NOTE}", f"{MENU}<main><div>{STORY}</div>{NOTE}</main>{NOTE}",
+    f"{MENU}<div id='w'><section>{STORY}</section></div>{NOTE}", f"{MENU}{STORY}{NOTE}", f"<div>{MENU}{STORY}</div>", f"<main>{MENU}<div class='c'>{STORY}</div>{COMMENTS}</main>",
+])
+def test_html_without_article(body):
+    assert _page(body).split("\n\n") == PARAGRAPHS
+
+
+def test_html_sections_and_title():
+    parts = "".join(f"<section><h2>Part {k}</h2>" + "".join(f"<p>{x}</p>" for x in PARAGRAPHS[2 * k : 2 * k + 2]) + "</section>" for k in range(3))
+    want = ["Title"] + [x for k in range(3) for x in [f"Part {k}", *PARAGRAPHS[2 * k : 2 * k + 2]]]
+    for page in (f"<div id='page'>{MENU}<h1>Title</h1><div>{parts}</div>{NOTE}</div>", f"{MENU}<main><h1>Title</h1>{parts}</main>{NOTE}", f"<div>{MENU}<h1>Title</h1>{parts}{NOTE}</div>"):
+        assert _page(page).split("\n\n") == want
+
+
+def test_html_one_short_article():
+    for tag in ("div", "main"):
+        assert _page(f"<{tag}>{MENU}<article><h1>T</h1><p>{PARAGRAPHS[0]}</p></article><div class='x'><div>{NOTE}</div></div></{tag}>").split("\n\n") == ["T", PARAGRAPHS[0]]
