@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree of elements. What is never article text (scripts, menus, forms, adverts, comments and the like, told by
-tag, role or class) leaves the tree. Each node's density is its characters per tag, damped by the share of its characters that
+The page becomes a tree of elements. What is never article text (scripts, menus, asides and the like, told by tag) leaves the
+tree. Names and roles (adverts, comments, forms) are evidence only: a whole class or id must say so, headings and code are not
+judged by them, and an element that holds most of the page's text stays. Each node's density is its characters per tag, damped by the share of its characters that
 are links; a node's density sum adds its children's densities. The node with the largest sum is taken, or the article
 that holds it. Without an article the least density on the node's path from the body is a threshold: elements beside the path
 that reach it and are of a kind with the path's are parts of the article too. Nothing above ``main`` is looked at, and the body
@@ -21,8 +22,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # HTML element kinds.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -30,7 +30,7 @@ _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
     "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-_DROPPED = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "input", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
+_DROPPED = {"aside", "button", "canvas", "dialog", "footer", "head", "iframe", "input", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _TEXT = {"blockquote", "dl", "figure", "ol", "p", "pre", "table", "ul"}
@@ -44,18 +44,16 @@ _WORDS = {
 }
 
 
-def _unwanted(tag: str, attributes: str, article: bool) -> bool:
-    if tag in _DROPPED or tag == "header" and not article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for m in _NAMED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip() in _ROLES:
-            return True
-        if name in ("class", "id") and not _WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+#: Words that may stand with the others in one name: "site-header", "comment-list".
+_PLAIN = {"area", "bar", "block", "bottom", "box", "buttons", "container", "content", "global", "group", "inner", "item", "left", "links", "list", "main", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "top", "wrap", "wrapper"}
+#: Kinds of doubt: none, doubtful by name, role or as a form, a header outside articles.
+_FINE, _NAME, _HEADER = 0, 1, 2
+
+
+def _doubtful(name: str) -> bool:
+    """Whether a whole name says that it holds no article text."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return not _WORDS.isdisjoint(parts) and all(x in _WORDS or x in _PLAIN for x in parts)
 
 
 class _Page:
@@ -64,7 +62,7 @@ class _Page:
     def __init__(self, source: str):
         self.parent, self.tag = [-1], [""]
         self.gone, self.link, self.article = [False], [False], [False]
-        self.kind = [""]  # class names
+        self.kind, self.doubt, self.code = [""], [_FINE], [False]  # kind: class names
         self.pieces: list[tuple[int, str | None]] = []  # None: a block begins or ends
         open_nodes, at = [0], 0
         match = _TOKEN.search(source)
@@ -101,10 +99,26 @@ class _Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.article.append(self.article[up] or tag in ("article", "main"))
-        self.gone.append(self.gone[up] or _unwanted(tag, attributes, self.article[up]))
+        kind, names, hidden, doubt = "", [], False, _NAME if tag == "form" else _FINE
+        for m in _NAMED.finditer(attributes) if attributes else ():
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                hidden = tag not in ("html", "body")
+            elif name == "role" and value.strip() in _ROLES:
+                doubt = _NAME
+            elif name == "class" or name == "id":
+                kind = value if name == "class" else kind
+                names += value.split()
+        if tag == "header" and not self.article[up]:
+            doubt = _HEADER
+        skip = {"header", "banner"} if tag == "header" or self.article[up] else ()
+        if tag not in _HEADINGS and not self.code[up] and any(x not in skip and _doubtful(x) for x in names):
+            doubt = _NAME
+        self.kind.append(kind)
+        self.doubt.append(_FINE if tag in ("html", "body", "main") else doubt)
+        self.code.append(self.code[up] or tag in ("code", "pre"))
+        self.gone.append(self.gone[up] or hidden or tag in _DROPPED)
         self.link.append(self.link[up] or tag == "a")
-        named = _CLASS.search(attributes) if attributes else None
-        self.kind.append((named[1] or named[2] or named[3] or "").lower() if named else "")
         if tag not in _VOID and not attributes.endswith("/"):
             open_nodes.append(len(self.tag) - 1)
 
@@ -127,12 +141,47 @@ class _Page:
                 del open_nodes[k:]
                 return
 
+    def _settle(self) -> None:
+        """Doubtful elements go, but for those that hold most of the text and for headers of a title alone."""
+        n = len(self.tag)
+        if not any(self.doubt):
+            return
+        chars, links, last = [0] * n, [0] * n, list(range(n))
+        own, titles, menus = [0] * n, [0] * n, [0] * n
+        for node, text in self.pieces:
+            if text:
+                chars[node] += len(text.strip())
+                links[node] += len(text.strip()) * self.link[node]
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            last[up] = max(last[up], last[i])
+            own[up] += own[i] + (self.tag[i] in ("h1", "main", "article") and not self.doubt[i])
+            titles[up] += titles[i] + (self.tag[i] in _HEADINGS)
+            menus[up] += menus[i] + (self.tag[i] == "nav")
+            if not self.gone[i]:
+                chars[up] += chars[i]
+                links[up] += links[i]
+        i = 1
+        while i < n:
+            if self.doubt[i] == _NAME:
+                goes = 2 * chars[i] <= chars[0] if own[i] else 4 * chars[i] <= 3 * chars[0]
+            elif self.doubt[i] == _HEADER:
+                goes = self.tag[self.parent[i]] in ("body", "html", "") or 2 * links[i] > chars[i] or not titles[i] or menus[i] > 0
+            else:
+                goes = False
+            if goes:
+                for k in range(i, last[i] + 1):
+                    self.gone[k] = True
+                i = last[i]
+            i += 1
+
     def chosen(self) -> list[tuple[int, int]]:
         """First and last node of each part of the tree that the article is made of."""
+        self._settle()
         n = len(self.tag)
         chars, links, tags, link_tags, last = [0] * n, [0] * n, [0] * n, [0] * n, list(range(n))
         for node, text in self.pieces:
-            if text:
+            if text and not self.gone[node]:
                 size = len(text.strip())
                 chars[node] += size
                 links[node] += size * self.link[node]
@@ -194,10 +243,10 @@ class _Page:
             while low and self.tag[group[low - 1]] in _HEADINGS and 2 * links[group[low - 1]] <= chars[group[low - 1]]:
                 low -= 1
             taken += [i for k, i in enumerate(group[low : high + 1], low) if k != at and (like[k] or self.tag[i] in _HEADINGS)]
-            title = [i for i in group[:at] if self.tag[i] in ("h1", "hgroup") and 2 * links[i] <= chars[i] and i not in taken]
+            title = [i for i in group[:at] if self.tag[i] in ("h1", "hgroup", "header") and 2 * links[i] <= chars[i] and i not in taken]
             if title and not titled and not any(self.tag[i] == "h1" for i in taken):
                 taken.append(title[-1])
-            titled = titled or any(self.tag[i] in ("h1", "hgroup") for i in taken)
+            titled = titled or any(self.tag[i] in ("h1", "hgroup", "header") for i in taken)
             if edge:
                 break
         return spans + [(i, last[i]) for i in taken]
@@ -219,7 +268,7 @@ def main_text(source: str | None) -> str:
         inside[first : final + 1] = b"\1" * (final + 1 - first)
     blocks, held = [], []
     for node, text in page.pieces:
-        if inside[node] or text is None:
+        if text is None or inside[node] and not page.gone[node]:
             if text is None:
                 block = " ".join("".join(held).split())
                 held = []

@@ -180,3 +180,18 @@ def test_html_sections_and_title():
 def test_html_one_short_article():
     for tag in ("div", "main"):
         assert _page(f"<{tag}>{MENU}<article><h1>T</h1><p>{PARAGRAPHS[0]}</p></article><div class='x'><div>{NOTE}</div></div></{tag}>").split("\n\n") == ["T", PARAGRAPHS[0]]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><header class='entry-header'><h1>Title</h1></header>{0}</article>", ["Title", *PARAGRAPHS]),
+    ("<article><h2 class='section-header'>Title</h2>{0}<h2 id='related-work'>Work</h2><p class='ad-hoc'>Ad hoc.</p><h2 id='social-history'>Social</h2></article>", ["Title", *PARAGRAPHS, "Work", "Ad hoc.", "Social"]),
+    ("<article><h2 class='header'>Title</h2>{0}<p style='overflow:hidden' data-x='hidden'>Last.</p><pre>a <span class='comment'># b</span></pre></article>", ["Title", *PARAGRAPHS, "Last.", "a # b"]),
+    ("<div class='layout with-sidebar'><div class='c'>{0}</div><div class='sidebar'>" + NOTE + "</div></div>", PARAGRAPHS),
+    ("<div class='widget'><div class='c'>{0}</div></div>", PARAGRAPHS),
+    ("<form action='x'><div class='c'>{0}</div></form>", PARAGRAPHS),
+    ("<div class='post'><header class='entry-header'><h1>Title</h1></header><div>{0}</div></div><header><h1>Site</h1></header>", ["Title", *PARAGRAPHS]),
+    ("<article>{0}<article class='comment'><p>I do not agree.</p></article><div class='comment-list'><p>Nor do I.</p></div><div class='ad'>Buy.</div></article>", PARAGRAPHS),
+    ("<article>{0}</article><div id='comments'><article class='comment'>" + "<p>Long talk, long talk.</p>" * 70 + "</article></div>", PARAGRAPHS),
+])
+def test_html_names_are_evidence(page, want):
+    assert _page(page.replace("{0}", STORY)).split("\n\n") == want
