@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common as C
 
@@ -90,15 +91,26 @@ def _slots(blocks: list[int]):
     return run
 
 
+def _marked(docs: DataFrame) -> dict:
+    """What tells rows apart: id (and whether there is none), source and two hashes of the text. Rows equal in all are alike."""
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    named = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    return {"no_id": doc_id.isNull(), "id": F.coalesce(doc_id, F.lit(0)), "name": named, "one": F.xxhash64(text), "two": F.xxhash64(F.lit(SEED), text)}
+
+
+KEY = ["no_id", "id", "name", "one", "two"]
+
+
 class Mix:
     """The mix of a documents table: ``slots`` (src, block, shard, slot) and ``documents`` with what each gives."""
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS):
         spark = docs.sparkSession
-        named = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
         size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(C.WORD)), F.lit(0)).cast("long")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.alias("name"), size.alias("size"))
-        rows = C.kept(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))), "sizes")
+        marks = _marked(docs)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), *(marks[k].alias(k) for k in ("name", "one", "two")))
+        place = F.xxhash64(F.coalesce("doc_id", "one"))
+        rows = C.kept(rows.withColumn("bucket", F.pmod(place, F.lit(BUCKETS))), "sizes")
         parts = rows.groupBy("name", "bucket").agg(F.sum("size").alias("words"))
         owned = {r["name"]: r["words"] for r in parts.groupBy("name").agg(F.sum("words").alias("words")).toLocalIterator()}
         names = sorted(owned, key=lambda x: (x == "n", x))
@@ -115,18 +127,18 @@ class Mix:
         known = spark.createDataFrame([(x, i, sizes[i], self.targets[i]) for i, x in enumerate(names)], "name string, src long, source_size long, target double")
         before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        within = Window.partitionBy("name", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
+        within = Window.partitionBy("name", "bucket").orderBy(place, "doc_id", "size", "one", "two")
         start = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         placed = rows.withColumn("start", start).withColumn("row", F.row_number().over(within))
         placed = placed.join(parts.select("name", "bucket", "before"), ["name", "bucket"]).withColumn("start", F.col("start") + F.col("before")).join(known, "name")
 
         cut = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)))
-        spread = placed.select("doc_id", "src", "bucket", "row", "size", "start", "source_size", "target", F.explode_outer(cut).alias("block"))
+        spread = placed.select("doc_id", "name", "one", "two", "src", "bucket", "row", "size", "start", "source_size", "target", F.explode_outer(cut).alias("block"))
         times = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
         met = spread.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
         over = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK)
         piece = F.struct((F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")).alias("at"), over.alias("n"), "times")
-        self.documents = met.groupBy("src", "bucket", "row", "doc_id", "size", "start", "source_size", "target").agg(
+        self.documents = met.groupBy("src", "bucket", "row", "doc_id", "name", "one", "two", "size", "start", "source_size", "target").agg(
             F.coalesce(F.sum(over * F.col("times")), F.lit(0)).alias("taken"), F.sort_array(F.collect_list(F.when(F.col("size") > 0, piece))).alias("pieces")
         )
 
@@ -161,22 +173,27 @@ def _rebuilt(batches):
                             runs.append([p["at"], p["at"] + p["n"]])
                 passes += [raw[starts[a] : ends[b - 1]].decode() for a, b in runs]
             out.append("\n".join(passes))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["mixed_id", "mixed_text"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["rest", "text"])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes words of, all columns as they are but text, which holds the taken words in order.
 
     Words of later passes follow on lines of their own; a document taken once and whole keeps its text. n_chars, where there
-    is one, is counted anew. Documents without a taken word go. Rows that repeat a doc_id share the pieces of one of them.
+    is one, is counted anew. Documents without a taken word go. A null doc_id is an id like others, and each row has the pieces
+    of its own: rows are met by id, source and text, and rows alike in all three by number, each with the pieces of one.
     """
-    columns = docs.columns
-    pieces = Mix(docs).documents.where("taken > 0").select(F.col("doc_id").alias("mixed_id"), "pieces").dropDuplicates(["mixed_id"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("mixed_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["mixed_id"])
-    texts = texts.join(pieces, "mixed_id").mapInArrow(_rebuilt, "mixed_id long, mixed_text string")
-    rows = docs.drop("text").join(texts, F.col("doc_id") == F.col("mixed_id"))
-    changed = {"text": F.col("mixed_text"), "n_chars": F.char_length("mixed_text").cast("long")}
-    return rows.select(*(changed[c].alias(c) if c in changed else rows[c] for c in columns))
+    alike = Window.partitionBy(*KEY).orderBy("one")
+    taken = Mix(docs).documents.where("taken > 0").withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0)))
+    taken = taken.select(*KEY, "pieces", F.row_number().over(Window.partitionBy(*KEY).orderBy("bucket", "row")).alias("nth"))
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in others)).alias("rest")
+    rows = docs.select(rest, F.col("text").cast("string").alias("text"), *(x.alias(k) for k, x in _marked(docs).items()))
+    rows = rows.withColumn("nth", F.row_number().over(alike)).join(taken, [*KEY, "nth"]).select("rest", "text", "pieces")
+    kinds = StructType([StructField("rest", rows.schema["rest"].dataType), StructField("text", StringType())])
+    rows = rows.mapInArrow(_rebuilt, kinds)
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return rows.select(*((changed[c] if c in changed else F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

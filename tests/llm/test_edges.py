@@ -71,6 +71,24 @@ def test_mixing(docs, none):
     assert mixing.counted(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mixing_keeps_rows_apart(spark):
+    """Every row keeps the words that the mix takes of it, with a null id, a repeated id or a twin."""
+    texts = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(f"r{k}w{j}" for j in range(40 + 13 * k % 70))) for k in range(60)]
+    rows = [(i, t, "en", "ab"[k % 2], len(t)) for k, (i, t) in enumerate(texts)] + [(None, "twin " * 90, "en", "a", 450), (7, "twin " * 90, "en", "a", 450)] * 2
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counted = sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in mixing.counted(some).collect() if r["taken"])
+    mixed = mixing.mixed(some).collect()
+    assert sorted((r["doc_id"] or -1, len(r["text"].split())) for r in mixed) == sorted((i, n) for i, _, n in counted)
+    whose = {r[1].split()[0].split("w")[0]: r for r in rows[:60]}
+    for r in mixed:
+        marks = {w.split("w")[0] for w in r["text"].split()}
+        assert len(marks) == 1 and r["n_chars"] == len(r["text"])
+        if marks != {"t"}:
+            own = whose[marks.pop()]
+            assert (r["doc_id"], r["source"]) == (own[0], own[3]) and set(r["text"].split()) <= set(own[1].split())
+    assert sum(r["doc_id"] is None for r in mixed) > 5 and len({r["text"] for r in mixed if r["doc_id"] == 7}) > 5
+
+
 def test_packing(docs, none):
     pieces = packing.pack(docs).collect()
     assert {r["doc_id"] for r in pieces} == {r[0] for r in ROWS}
