@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is written as Parquet to the
 shared folder and read again. All but the last return the columns of documents. SQL can express neither the classifier nor the
-tokens, so ORACLE_SQL is None and the tests hold every stage against a plain restatement.
+tokens, so ORACLE_SQL is None; tests/llm/test_pipeline.py holds run(), stage by stage, against a plain restatement.
 """
 
 from __future__ import annotations
