@@ -9,6 +9,7 @@ starts at the least possible and rises while a window exceeds the sequence lengt
 from __future__ import annotations
 
 import heapq
+import os
 import re
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, PIECE, GROUP = 1024, 128, 192
-#: Words whose ids a worker remembers.
-MEMO = 400_000
+#: Characters, and 40 for each word, after which a worker forgets the words that it has encoded.
+MEMO = 40_000_000
 END = b"\0\0\0\0"
 #: White space that a cut before a single space would part: such texts are encoded whole.
 _BOUND = re.compile(r"\s (?:\s|\Z)")
@@ -32,57 +33,49 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes; each word with the space before it is encoded once and remembered."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
         width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():  # each character of a token stands for a byte
             width[i] = len(token)
         self.width = width
 
-    def _fresh(self, units: list[str]) -> list[bytes]:
-        """Ids of many units: those that begin with a space are encoded end to end and told apart by their bytes."""
-        out: dict[str, bytes] = {}
-        spaced = [x for x in units if x[:1] == " " and len(x) > 1 and not x[-1].isspace() and not x[1].isspace()]
-        blocks = [spaced[i : i + 256] for i in range(0, len(spaced), 256)]
-        for block, got in zip(blocks, self.tokenizer.encode_batch_fast(["".join(b) for b in blocks], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in block])) + 1
-            a = 0
-            for x, b in zip(block, ends.tolist()):
-                out[x] = ids[a:b].tobytes()
-                a = b
-        rest = [x for x in units if x not in out]
-        for x, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            out[x] = np.array(got.ids, "<u4").tobytes()
-        return [out[x] for x in units]
+    def _single(self, units: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words after a space. They are encoded end to end and told apart by the spaces among the bytes."""
+        plain = [x for x in words if x and not x[0].isspace() and not x[-1].isspace()]
+        blocks = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        joined = [" " + " ".join(b) for b in blocks]
+        for block, text, got in zip(blocks, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids, raw = np.array(got.ids, "<u4"), np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            cuts = [0, *(4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()]
+            packed = ids.tobytes()
+            self.memo.update(zip(block, map(packed.__getitem__, map(slice, cuts, cuts[1:]))))
+        rest = [x for x in words if x not in self.memo]
+        self.memo.update(zip(rest, self._single([" " + x for x in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. A word's key in the memo lacks the space before it; words that start a text are rare."""
-        if len(self.memo) > MEMO:
+        """Ids of each text. A word's key in the memo lacks the space before it; what starts a text is encoded by itself."""
+        if self.held > MEMO:
             self.memo.clear()
-        find, parts, todo, odd = self.memo.get, [], {}, {}
-        for text in texts:
-            units = [text] if _BOUND.search(text) else text.split(" ")
-            got = list(map(find, units[1:]))
-            parts.append((units, got))
-            odd[units[0]] = None
-            if None in got:
-                todo.update((x, None) for x, ids in zip(units[1:], got) if ids is None)
-        fresh = dict(zip(todo, self._fresh([" " + x for x in todo])))
-        odd = dict(zip(odd, self._fresh([x for x in odd]))) if odd else odd
-        for x, ids in fresh.items():
-            if len(x) < 64:
-                self.memo[x] = ids
-        out = []
-        for units, got in parts:
-            if None in got:
-                got = [fresh[x] if ids is None else ids for x, ids in zip(units[1:], got)]
-            out.append(odd[units[0]] + b"".join(got))
-        return out
+            self.held = 0
+        parts = [[text] if _BOUND.search(text) else text.split(" ") for text in texts]
+        first = list(dict.fromkeys(units[0] for units in parts))
+        first = dict(zip(first, self._single(first)))
+        todo = set().union(*(units[1:] for units in parts)).difference(self.memo)
+        self.held += sum(map(len, todo)) + 40 * len(todo)
+        self._learn(sorted(todo))
+        find = self.memo.__getitem__
+        return [first[units[0]] + b"".join(map(find, units[1:])) for units in parts]
 
 
 def encoder(path: str, held: dict = {}) -> Encoder:  # noqa: B006
