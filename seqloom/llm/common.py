@@ -37,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back."""
+def kept(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. ``dictionary``: False for columns of hashes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

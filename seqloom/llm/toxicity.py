@@ -1,9 +1,10 @@
 """Toxicity by compression distance: windows of a text under a toxic and an ordinary zstandard dictionary.
 
-Both dictionaries are trained on labelled text: ordinary words by frequency, and after them, in the toxic one, words with
-byte runs that toxic text has far more often. A window that gets shorter under the toxic dictionary tells of toxic words. Each
-window follows a primer that both dictionaries end with, so that even a short one is stored compressed. What the windows say
-is calibrated to a probability on labelled rows that the dictionaries have not seen.
+Two zstandard dictionaries are trained: one on windows of ordinary labelled texts, one on the fragments of toxic labelled texts
+that are characteristic of them (words with byte runs that toxic text has far more often). Windows are compressed once after the
+ordinary dictionary alone and once with the toxic one behind it; a window that gets shorter tells of toxic words. Each window
+follows a primer that both end with, so that even a short one is stored compressed. What the windows say is calibrated to a
+probability on labelled rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import learning as L
 
-#: Most labelled rows that are learnt from, and their longest text in bytes. Scores are made from whole texts.
+#: Most labelled rows that are learnt from, and their longest text in bytes (what reaches the driver is bounded by both; longer
+#: labelled texts are not learnt from). Scores are made from whole texts.
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 2000, 4000, 16_384
 WINDOW_WORDS, PART_WORDS, GRAM = 16, 4, 5
-TOXIC_BYTES, ORDINARY_BYTES = 8_192, 65_536
+TOXIC_BYTES, ORDINARY_BYTES = 8_192, 98_304
 #: A byte run counts as toxic by this log-likelihood ratio and log odds.
 LEAST_RATIO, LEAST_ODDS = 28.0, 2.5
 #: Bytes saved by the toxic dictionary from which a window counts.
@@ -59,15 +61,16 @@ def _toxic_grams(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[b
     return out
 
 
-def _content(count: Counter, most: int) -> bytes:
-    """Words after spaces, up to ``most`` bytes, the most frequent last, where matches are cheapest."""
-    out, n = [], 0
-    for word, _ in sorted(count.items(), key=lambda x: (-x[1], x[0])):
-        if n + len(word) + 1 > most:
-            break
-        out.append(b" " + word)
-        n += len(word) + 1
-    return b"".join(reversed(out))
+def _pieces(words: list[bytes]) -> list[bytes]:
+    return [b" " + b" ".join(words[i : i + PART_WORDS]) for i in range(0, len(words), PART_WORDS)]
+
+
+def _trained(samples: list[bytes], most: int, segment: int) -> bytes:
+    """A zstandard dictionary of up to ``most`` bytes. Samples that are too few to train on are the dictionary themselves."""
+    try:
+        return zstandard.train_dictionary(most, samples, d=6, k=segment).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:most]
 
 
 class Compressors:
@@ -114,8 +117,8 @@ class ToxicityModel:
         learn, check = ({k: [x for i, x in enumerate(v) if (i % 3 == 2) == late] for k, v in texts.items()} for late in (False, True))
         words = {k: [_words(x) for x in v] for k, v in learn.items()}
         toxic_grams = _toxic_grams(words[1], words[0]) if words[1] and words[0] else set()
-        self.toxic = _content(Counter(w for x in words[1] for w in x if _grams(w) & toxic_grams), TOXIC_BYTES)
-        self.ordinary = _content(Counter(w for x in words[0] for w in x), ORDINARY_BYTES)
+        self.toxic = _trained([p for x in words[1] for p in _pieces([w for w in x if _grams(w) & toxic_grams])], TOXIC_BYTES, 16)
+        self.ordinary = _trained([p for x in words[0] for p in _pieces(x)], ORDINARY_BYTES, 24)
         if check[1] and check[0]:
             made = Compressors(self.toxic, self.ordinary)
             x = np.array([made.features(t) for k in (1, 0) for t in check[k]])
