@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary one and a cluster an error."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.sparkContext.setCheckpointDir(own)
     return own
