@@ -15,19 +15,30 @@ from seqloom.llm.filters import BitFilter
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
+    """Drop the documents that the quality classifier rejects.
+
+    A null text is judged as an empty one; rows with a null id are judged, but not learnt from; equal texts stay or go together,
+    also under one id. Without labels of good quality all stay. An empty table gives an empty result.
+    """
     return quality.accepted(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take later near-duplicate lines out of the texts. No document goes, also where no line is left."""
-    return line_dedup.deduplicated(docs).select(*docs.columns)
+    """Take later near-duplicate lines out of the texts. No document goes, also where no line is left.
+
+    Rows without an id or a text are left as they are; rows that repeat an id are one document. Columns may have any names
+    but lines and lines_removed. An empty table gives an empty result.
+    """
+    return line_dedup.deduplicated(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; documents without an id or without words all stay."""
+    """Keep the document with the smallest id of each group; documents without an id or without words all stay.
+
+    Rows that repeat an id stay or go together. Columns may have any names. An empty table gives an empty result.
+    """
     groups = ngram_join.near_duplicates(docs)
-    gone = common.kept(groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "dropped")
+    gone = common.kept(groups.where("component_id < doc_id").select("doc_id").distinct(), "dropped")
     some = BitFilter(gone, ngram_join.FILTER_BITS)
 
     @F.pandas_udf("boolean")
@@ -36,17 +47,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
         return pd.Series(some.hit(slot.to_numpy("int64")))
 
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     hit = F.coalesce(may_go(some.slot("doc_id")), F.lit(False))
-    return docs.where(~hit).unionByName(docs.where(hit).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti"))
+    return rows.where(~hit).unionByName(rows.where(hit).join(gone, "doc_id", "left_anti")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out words so that the sources come near their target shares."""
+    """Repeat or leave out words so that the sources come near their target shares.
+
+    A null source is a source of its own, a null id is an id like others, rows that repeat are documents of their own. Rows
+    without words, and those the mix takes nothing of, go. An empty table gives an empty result.
+    """
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack: one row per piece, with its token ids and its place in a sequence."""
+    """Tokenise and pack: one row per piece, with its token ids and its place in a sequence.
+
+    A null or empty text is one closing id; a null id is kept; each row is a document of its own, also where rows repeat. An
+    empty table gives an empty result.
+    """
     return packing.pack(docs)
 
 
