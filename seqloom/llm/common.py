@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that the Python workers hold in one step.
 CHUNK_BYTES = 1 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -25,6 +27,9 @@ _BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Texts are long, so Arrow batches to Python workers are bounded in bytes where nobody set a bound."""
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -92,6 +97,15 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.diff(np.searchsorted(starts, bounds))
 
 
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the machine: idle workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit depends on all bits."""
     x = x ^ (x >> np.uint64(33))

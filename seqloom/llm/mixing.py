@@ -174,6 +174,7 @@ def _rebuilt(batches):
                 passes += [raw[starts[a] : ends[b - 1]].decode() for a, b in runs]
             out.append("\n".join(passes))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], names=["rest", "text"])
+    C.trim()
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -119,6 +119,7 @@ def _describe(batches):
             [ids, pa.array(count, pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), *(pa.array(x) for x in np.stack(sketch, axis=1).copy())],
             names=["doc_id", "n_words", "n_shingles", "one", "two", *(f"s{i}" for i in range(SKETCH_WORDS))],
         )
+    C.trim()
 
 
 def _fresh_sets(batches):
@@ -137,7 +138,11 @@ def _repeated(batches):
     held, size = [], 0
 
     def count():
-        token, n = np.unique(np.concatenate(held), return_counts=True)
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        token, n = tokens[start], np.diff(np.append(start, len(tokens)))
         return pa.RecordBatch.from_arrays([pa.array(_signed(token[n > 1])), pa.array(n[n > 1])], names=["token", "n"])
 
     for _, s in _fresh_sets(batches):
@@ -145,9 +150,10 @@ def _repeated(batches):
         size += len(s)
         if size > TOKENS:
             yield count()
-            held, size = [], 0
+            size = 0
     if held:
         yield count()
+    C.trim()
 
 
 def _emit(frequent: BitFilter):
@@ -173,6 +179,7 @@ def _emit(frequent: BitFilter):
                 out, size = [], 0
         if out:
             yield _rows(out)
+        C.trim()
 
     return run
 
@@ -202,6 +209,8 @@ def _stars(batches):
     for a in range(0, len(key), 1 << 16):
         part = slice(a, a + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(x[part][keep[part]]) for x in (key, doc, leader, size, rank)], names=["key", "doc", "leader", "size", "rank"])
+    del key, doc, rank, leader, size, keep
+    C.trim()
 
 
 def _similar(batches):

@@ -137,7 +137,9 @@ def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
         import pandas as pd
 
         part = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
-        return pd.Series(np.concatenate([shared.value.score(features(x.column(0))) for x in C.chunks([part])]) if len(text) else np.zeros(0))
+        found = np.concatenate([shared.value.score(features(x.column(0))) for x in C.chunks([part])]) if len(text) else np.zeros(0)
+        C.trim()
+        return pd.Series(found)
 
     return docs.where(score(F.col("text").cast("string")) >= PREDICT_FROM)
 

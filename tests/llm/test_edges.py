@@ -1,5 +1,7 @@
 """Nulls, blanks, repeats, clashing columns and empty tables in every operator and pipeline stage."""
 
+import types
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,9 +171,8 @@ def test_line_dedup_names(spark):
     assert got == [(1, "a b c d e\nx", 1, 2, 4, 2, 0), (2, "", 5, 6, 8, 2, 2), (2, "y\nz", 9, 9, 9, 2, 0)]
 
 
-def test_shared_folder(spark, monkeypatch):
-    """Without a shared folder only a session on this machine may use a folder of its own."""
-    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://x:7077")
+def test_shared_folder():
+    """Without a shared folder a session on a cluster gets an error, never a folder of the driver's own."""
+    context = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077")
     with pytest.raises(ValueError):
-        common.shared_dir(spark)
+        common.shared_dir(types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d), sparkContext=context))
