@@ -30,11 +30,13 @@ def summary_sql(keys: str, counts: bool = False, null: str = "nulls", seen: str
     """SELECT over (keys, perm_id, value) and (keys, observed), as functions.stats.null_summary."""
     gate = "null_sd >= 0.5 AND unique_values >= 3" if counts else "null_sd > 1e-12"
     ks = ", ".join(keys.split())
-    return f"""SELECT {ks}, round(CAST(observed AS DOUBLE), 8) AS observed, permutations, round(null_mean, 8) AS null_mean, round(null_sd, 6) AS null_sd,
-  round(CASE WHEN {gate} THEN (observed - null_mean) / null_sd ELSE {z} END, 6) AS z, round((at_least + 1.0) / (permutations + 1), 8) AS p_upper, round((at_most + 1.0) / (permutations + 1), 8) AS p_lower,
-  round(least(1.0, 2 * least((at_least + 1.0) / (permutations + 1), (at_most + 1.0) / (permutations + 1))), 8) AS p_two_sided
+    return f"""SELECT {ks}, round(CAST(observed AS DOUBLE), 8) AS observed, permutations, round(null_mean, 8) + 0.0 AS null_mean, round(null_sd, 6) AS null_sd,
+  round(CASE WHEN {gate} THEN (observed - null_mean) / null_sd ELSE {z} END, 6) + 0.0 AS z, round((at_least + 1.0) / (permutations + 1), 8) AS p_upper, round((at_most + 1.0) / (permutations + 1), 8) AS p_lower,
+  round(least(1.0, 2 * least((at_least + 1.0) / (permutations + 1), (at_most + 1.0) / (permutations + 1))), 8) AS p_two_sided,
+  round((as_far + 1.0) / (permutations + 1), 8) AS p_distance
   FROM (SELECT {ks}, first(observed) AS observed, count(*) AS permutations, avg(CAST(value AS DOUBLE)) AS null_mean, coalesce({sd}(CAST(value AS DOUBLE)), 0) AS null_sd, count(DISTINCT round(value, 9)) AS unique_values,
-    count(*) FILTER (value >= observed - 1e-12) AS at_least, count(*) FILTER (value <= observed + 1e-12) AS at_most FROM {null} JOIN {seen} USING ({ks}) GROUP BY {ks})"""
+    count(*) FILTER (value >= observed - 1e-12) AS at_least, count(*) FILTER (value <= observed + 1e-12) AS at_most,
+    count(*) FILTER (abs(value - mid) >= abs(observed - mid) - 1e-9) AS as_far FROM (SELECT *, avg(CAST(value AS DOUBLE)) OVER (PARTITION BY {ks}) AS mid FROM {null}) JOIN {seen} USING ({ks}) GROUP BY {ks})"""
 
 
 def _in(xs) -> str:
@@ -111,11 +113,11 @@ register("conditional_entropy", on_events(lambda s: M.conditional_entropy(G.bigr
 register("markov_accuracy", on_events(lambda s: M.accuracy(G.bigrams(s), ["book"]).select("book", S.rounded("value").alias("value"))), EV + f" SELECT book, round(value, 8) AS value FROM ({ACC.format(k='book', t='bg')})")
 for _name, _kind, _order in (("markov_cv_chrono", "chronological", "pos"), ("markov_cv_random", "random", "md5(concat_ws('|', '1', book, pos)), pos")):
     register(
-        _name, on_events(lambda s, k=_kind: M.split_accuracy(s, 0.7, k)),
-        EV + f""", sp AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY {_order}) AS place, count(*) OVER (PARTITION BY book) AS m FROM bg), tr AS (SELECT * FROM sp WHERE place <= floor(m * 0.7)),
-model AS (SELECT book, a, b AS guess FROM (SELECT book, a, b, row_number() OVER (PARTITION BY book, a ORDER BY count(*) DESC, b) AS rk FROM tr GROUP BY book, a, b) WHERE rk = 1),
-com AS (SELECT book, b AS dflt FROM (SELECT book, b, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, b) AS rk FROM tr GROUP BY book, b) WHERE rk = 1)
-SELECT book, count(*) AS tested, count(*) FILTER (coalesce(guess, dflt) = b) AS hits, round(avg(CASE WHEN coalesce(guess, dflt) = b THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM sp LEFT JOIN model USING (book, a) LEFT JOIN com USING (book) WHERE place > floor(m * 0.7) GROUP BY book""",
+        _name, on_events(lambda s, k=_kind: M.split_accuracy(s, 0.8, k)),
+        EV + f""", sp AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY {_order}) AS place, count(*) OVER (PARTITION BY book) AS m FROM bg), tr AS (SELECT * FROM sp WHERE place <= greatest(1, floor(m * 0.8))),
+model AS (SELECT book, a, b AS guess FROM (SELECT book, a, b, row_number() OVER (PARTITION BY book, a ORDER BY count(*) DESC, min(place)) AS rk FROM tr GROUP BY book, a, b) WHERE rk = 1),
+com AS (SELECT book, b AS dflt FROM (SELECT book, b, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, min(place)) AS rk FROM tr GROUP BY book, b) WHERE rk = 1)
+SELECT book, count(*) AS tested, count(*) FILTER (coalesce(guess, dflt) = b) AS hits, round(avg(CASE WHEN coalesce(guess, dflt) = b THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM sp LEFT JOIN model USING (book, a) LEFT JOIN com USING (book) WHERE place > greatest(1, floor(m * 0.8)) OR m = 1 GROUP BY book""",
     )
 register(
     "transition_perm_test", on_events(lambda s: M.transition_test(s, P)),
@@ -142,7 +144,7 @@ fl AS (SELECT DISTINCT fset, fold FROM ds),
 tr AS (SELECT l.fset, l.fold, a.feature, a.p - coalesce(c.p, 0) AS p, a.q - coalesce(c.q, 0) AS q FROM fl l JOIN fa a USING (fset) LEFT JOIN fc c ON c.fset = l.fset AND c.fold = l.fold AND c.feature = a.feature),
 tot AS (SELECT fset, fold, sum(p) AS sp, sum(q) AS sq, count(*) FILTER (p + q > 0) AS vocab FROM tr GROUP BY ALL),
 cls AS (SELECT l.fset, l.fold, count(*) FILTER (gold) AS np, count(*) FILTER (NOT gold) AS nq FROM fl l JOIN ds d ON d.fset = l.fset AND d.fold <> l.fold GROUP BY ALL),
-sc AS (SELECT d.fset, d.fold, d.book, d.pos, d.gold, round(first(ln((np + 1.0) / (np + nq + 2.0)) - ln((nq + 1.0) / (np + nq + 2.0))) + sum(ln((coalesce(t.p, 0) + 1.0) / (sp + vocab + 1.0)) - ln((coalesce(t.q, 0) + 1.0) / (sq + vocab + 1.0))), 6) AS score
+sc AS (SELECT d.fset, d.fold, d.book, d.pos, d.gold, round(first(ln((np + 1.0) / (np + nq + 2.0)) - ln((nq + 1.0) / (np + nq + 2.0))) + sum(ln((coalesce(t.p, 0) + 1.0) / (sp + greatest(1, vocab))) - ln((coalesce(t.q, 0) + 1.0) / (sq + greatest(1, vocab)))), 6) AS score
   FROM (SELECT fset, fold, book, pos, gold, unnest(features) AS feature FROM ds) d JOIN cls USING (fset, fold) JOIN tot USING (fset, fold) LEFT JOIN tr t ON t.fset = d.fset AND t.fold = d.fold AND t.feature = d.feature GROUP BY d.fset, d.fold, d.book, d.pos, d.gold),
 pr AS (SELECT *, row_number() OVER (PARTITION BY fset, fold ORDER BY score DESC, book, pos) AS rk, count(*) FILTER (gold) OVER (PARTITION BY fset, fold) AS k FROM sc)"""
 
@@ -162,7 +164,7 @@ register(
 )
 register(
     "nb_weights", _nb(lambda r: r.weights(5)),
-    NB + """, w AS (SELECT fset, feature, p, q, round(ln((p + 1.0) / (sum(p) OVER (PARTITION BY fset) + count(*) OVER (PARTITION BY fset) + 1.0)) - ln((q + 1.0) / (sum(q) OVER (PARTITION BY fset) + count(*) OVER (PARTITION BY fset) + 1.0)), 6) AS weight FROM fa),
+    NB + """, w AS (SELECT fset, feature, p, q, round(ln((p + 1.0) / (sum(p) OVER (PARTITION BY fset) + count(*) OVER (PARTITION BY fset))) - ln((q + 1.0) / (sum(q) OVER (PARTITION BY fset) + count(*) OVER (PARTITION BY fset))), 6) AS weight FROM fa),
 top AS (SELECT fset, feature, CAST(p AS BIGINT) AS p, CAST(q AS BIGINT) AS q, weight, row_number() OVER (PARTITION BY fset ORDER BY weight DESC, feature) AS up, row_number() OVER (PARTITION BY fset ORDER BY weight, feature) AS down FROM w)
 SELECT fset, feature, p, q, weight, CASE WHEN up <= 5 THEN 'positive' ELSE 'negative' END AS side FROM top WHERE up <= 5 OR down <= 5""",
 )

@@ -40,8 +40,8 @@ PL = WD + rf""", p1 AS (SELECT *, len(regexp_extract_all(replace(dw, '{P.ACUTE}'
 pl AS (SELECT *, start_pulse + pulses AS end_pulse, start_pulse + least(accent, greatest(pulses - 1, 0)) AS accent_pulse, accent IS NOT NULL AS accented FROM (SELECT *, coalesce(sum(pulses) OVER w, 0) AS start_pulse,
   coalesce(sum(CAST(ends_verse AS INT)) OVER w, 0) AS verse_id, coalesce(sum(CAST(ends_major AS INT)) OVER w, 0) AS major_id, coalesce(sum(CAST(ends_minor AS INT)) OVER w, 0) AS minor_id FROM p1
   WINDOW w AS (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))"""
-SEG = PL + ", sg AS (" + " UNION ALL ".join(f"SELECT book, '{x}' AS level, {x}_id AS segment, count(*) AS words, sum(pulses) AS pulses, count(*) FILTER (accented) AS accents, min(pos) AS first, max(pos) AS last, bool_or(ends_{x}) AS complete FROM pl GROUP BY book, {x}_id" for x in H.LEVELS) + ")"
-REL = PL + ", rl AS (" + " UNION ALL ".join(f"SELECT book, '{u}>{d}' AS relation, parent, count(*) AS children, CAST(sum(words) AS BIGINT) AS words, string_agg(CAST(words AS VARCHAR), '-' ORDER BY child) AS sizes FROM (SELECT book, {u}_id AS parent, {d}_id AS child, count(*) AS words FROM pl GROUP BY ALL) GROUP BY book, parent" for u, d in H.RELATIONS) + ")"
+SEG = PL + ", sg AS (" + " UNION ALL ".join(f"SELECT book, '{x}' AS level, {x}_id AS segment, count(*) AS words, sum(pulses) AS pulses, count(*) FILTER (accented) AS accents, min(pos) AS first, max(pos) AS last, bool_or(ends_{x}) AS complete FROM pl GROUP BY book, {x}_id" for x in H.LEVELS) + "), sc AS (SELECT * FROM sg WHERE complete)"
+REL = PL + ", rl AS (" + " UNION ALL ".join(f"SELECT book, '{u}>{d}' AS relation, parent, count(*) AS children, CAST(sum(words) AS BIGINT) AS words, string_agg(CAST(words AS VARCHAR), '-' ORDER BY child) AS sizes FROM (SELECT *, bool_or(ends) OVER (PARTITION BY book, parent) AS closed FROM (SELECT book, {u}_id AS parent, {d}_id AS child, count(*) AS words, bool_or(ends_{d}) AS whole, bool_or(ends_{u}) AS ends FROM pl GROUP BY ALL)) WHERE whole AND closed GROUP BY book, parent" for u, d in H.RELATIONS) + ")"
 
 
 def _signature_sql(profile: str = "STRICT") -> str:
@@ -57,14 +57,17 @@ s4 AS (SELECT *, CASE WHEN acc > 0 THEN array_to_string(list_transform(parts[(CA
 st AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pos) - 1 AS i FROM s4 WHERE pk IS NOT NULL)"""
 
 
+_EDGES = ", ".join(f"{f}({x}_id) OVER (PARTITION BY book ORDER BY i) AS {x}_{side}" for x in H.LEVELS for side, f in (("before", "lag"), ("after", "lead")))
+
+
 def _arrivals_sql(exclude_exact=False, match="all", no_extended=False, least=0) -> str:
     fine = "true" + (" AND x.exact <> exact" if exclude_exact else "") + (" AND NOT (x.extended OR extended)" if no_extended else "")
     value = {"all": "full_n + bridge_n", "full": "full_n", "bridge": "bridge_n"}[match]
     if least:
         value = f"CASE WHEN {value} >= {least} THEN {value} ELSE 0 END"
-    return _signature_sql() + f""", a1 AS (SELECT *, list({{'pk': pk, 'bk': bk, 'exact': exact, 'extended': extended}}) OVER (PARTITION BY book ORDER BY i ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING) AS h FROM st),
+    return _signature_sql() + f""", a1 AS (SELECT *, list({{'pk': pk, 'bk': bk, 'exact': exact, 'extended': extended}}) OVER (PARTITION BY book ORDER BY i ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING) AS h, {_EDGES} FROM st),
 a2 AS (SELECT *, len(list_filter(h, lambda x: ({fine}) AND x.pk = pk)) AS full_n, len(list_filter(h, lambda x: ({fine}) AND x.pk <> pk AND (coalesce(x.pk = bk, false) OR coalesce(x.bk = pk, false)))) AS bridge_n, len(list_filter(h, lambda x: x.exact = exact)) AS same_word FROM a1 WHERE i >= {WINDOW}),
-ar AS (SELECT book, lang, i, full_n AS "full", bridge_n AS bridge, same_word, {value} AS value, verse_id, major_id, minor_id FROM a2)"""
+ar AS (SELECT book, lang, i, full_n AS "full", bridge_n AS bridge, same_word, {value} AS value, verse_id, major_id, minor_id, verse_before, verse_after, major_before, major_after, minor_before, minor_after FROM a2)"""
 
 
 RUNS = """, r0 AS (SELECT book, i, value, sum(CASE WHEN value > 0 AND NOT coalesce(pv > 0, false) THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY i ROWS UNBOUNDED PRECEDING) AS run_id FROM (SELECT book, i, value, lag(value) OVER (PARTITION BY book ORDER BY i) AS pv FROM ar)),
@@ -94,13 +97,13 @@ register("accent_offsets", lambda s, d: _pulses(s, d).groupBy("book").agg(F.max(
 register("hierarchy_ids", lambda s, d: _words(s, d).groupBy("book").agg(*(f(f"{x}_id").alias(f"{x}_{n}") for x in H.LEVELS for n, f in (("last", F.max), ("sum", F.sum)))), PL + " SELECT book, " + ", ".join(f"CAST(max({x}_id) AS BIGINT) AS {x}_last, CAST(sum({x}_id) AS BIGINT) AS {x}_sum" for x in H.LEVELS) + " FROM pl GROUP BY book")
 register("hierarchy_segments", lambda s, d: H.segments(_pulses(s, d)), SEG + ' SELECT book, level, CAST(segment AS BIGINT) AS segment, words, CAST(pulses AS BIGINT) AS pulses, accents, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, complete FROM sg')
 register("hierarchy_relations", lambda s, d: H.relations(_words(s, d)), REL + " SELECT book, relation, CAST(parent AS BIGINT) AS parent, children, words, sizes FROM rl")
-register("hierarchy_validation", lambda s, d: H.validation(_pulses(s, d)), SEG + " " + " UNION ALL ".join(f"SELECT '{u}>{d}' AS relation, count(*) AS parents, count(*) FILTER (k.w = p.words AND k.pu = p.pulses) AS exact FROM (SELECT * FROM sg WHERE level = '{u}') p LEFT JOIN (SELECT m.book, m.parent, sum(c.words) AS w, sum(c.pulses) AS pu FROM (SELECT DISTINCT book, {u}_id AS parent, {d}_id AS segment FROM pl) m JOIN sg c ON c.level = '{d}' AND c.book = m.book AND c.segment = m.segment GROUP BY ALL) k ON k.book = p.book AND k.parent = p.segment" for u, d in H.RELATIONS))
-register("level_summary", lambda s, d: H.level_summary(H.segments(_pulses(s, d))), SEG + " " + " UNION ALL ".join(f"SELECT level, '{f}' AS field, count(*) AS n, count(DISTINCT {f}) AS kinds, round(avg({f}), 8) AS mean, round(stddev_samp({f}), 6) AS sd, round(quantile_cont({f}, 0.5), 8) AS median, CAST(min({f}) AS BIGINT) AS least, CAST(max({f}) AS BIGINT) AS most FROM sg GROUP BY level" for f in ("words", "pulses", "accents")))
+register("hierarchy_validation", lambda s, d: H.validation(_pulses(s, d)), SEG + " " + " UNION ALL ".join(f"SELECT '{u}>{d}' AS relation, count(*) AS parents, count(*) FILTER (k.w = p.words AND k.pu = p.pulses) AS exact FROM (SELECT * FROM sc WHERE level = '{u}') p LEFT JOIN (SELECT m.book, m.parent, sum(c.words) AS w, sum(c.pulses) AS pu FROM (SELECT DISTINCT book, {u}_id AS parent, {d}_id AS segment FROM pl) m JOIN sc c ON c.level = '{d}' AND c.book = m.book AND c.segment = m.segment GROUP BY ALL) k ON k.book = p.book AND k.parent = p.segment" for u, d in H.RELATIONS))
+register("level_summary", lambda s, d: H.level_summary(H.segments(_pulses(s, d))), SEG + " " + " UNION ALL ".join(f"SELECT level, '{f}' AS field, count(*) AS n, count(DISTINCT {f}) AS kinds, round(avg({f}), 8) AS mean, round(stddev_samp({f}), 6) AS sd, round(quantile_cont({f}, 0.5), 8) AS median, CAST(min({f}) AS BIGINT) AS least, CAST(max({f}) AS BIGINT) AS most FROM sc GROUP BY level" for f in ("words", "pulses", "accents")))
 register("relation_summary", lambda s, d: H.relation_summary(H.relations(_words(s, d))), REL + " SELECT relation, count(*) AS parents, round(avg(children), 8) AS mean_children, " + ", ".join(f"round(count(*) FILTER (children = {k}) / count(*), 8) AS share_{k}" for k in (1, 2, 3)) + ", count(DISTINCT sizes) AS shapes FROM rl GROUP BY relation")
-register("size_frequency", lambda s, d: H.frequency(H.segments(_pulses(s, d)), ["level"], "words", 40), SEG + " SELECT level, CASE WHEN b > 40 THEN '>40' ELSE CAST(b AS VARCHAR) END AS label, n, round(n / sum(n) OVER (PARTITION BY level), 8) AS share, round(sum(n) OVER (PARTITION BY level ORDER BY b ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY level), 8) AS cumulative FROM (SELECT level, least(words, 41) AS b, count(*) AS n FROM sg GROUP BY ALL)")
-register("size_ngrams", lambda s, d: H.size_ngrams(H.segments(_pulses(s, d)), 3, 50), SEG + " SELECT * FROM (SELECT level, gram, n, row_number() OVER (PARTITION BY level ORDER BY n DESC, gram) AS rank FROM (SELECT level, concat_ws('-', g0, g1, g2) AS gram, count(*) AS n FROM (SELECT level, words AS g0, lead(words, 1) OVER w AS g1, lead(words, 2) OVER w AS g2 FROM sg WINDOW w AS (PARTITION BY book, level ORDER BY segment)) WHERE g2 IS NOT NULL GROUP BY ALL)) WHERE rank <= 50")
+register("size_frequency", lambda s, d: H.frequency(H.complete(H.segments(_pulses(s, d))), ["level"], "words", 40), SEG + " SELECT level, CASE WHEN b > 40 THEN '>40' ELSE CAST(b AS VARCHAR) END AS label, n, round(n / sum(n) OVER (PARTITION BY level), 8) AS share, round(sum(n) OVER (PARTITION BY level ORDER BY b ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY level), 8) AS cumulative FROM (SELECT level, least(words, 41) AS b, count(*) AS n FROM sc GROUP BY ALL)")
+register("size_ngrams", lambda s, d: H.size_ngrams(H.segments(_pulses(s, d)), 3, 50), SEG + " SELECT * FROM (SELECT level, gram, n, row_number() OVER (PARTITION BY level ORDER BY n DESC, first) AS rank FROM (SELECT level, concat_ws('-', g0, g1, g2) AS gram, count(*) AS n, min(book * 1000000 + segment) AS first FROM (SELECT book, segment, level, words AS g0, lead(words, 1) OVER w AS g1, lead(words, 2) OVER w AS g2 FROM sc WINDOW w AS (PARTITION BY book, level ORDER BY segment)) WHERE g2 IS NOT NULL GROUP BY ALL)) WHERE rank <= 50")
 _BK = lambda n, x, m: f"CASE WHEN {x} >= {m} THEN '{n}{m}+' ELSE '{n}' || CAST({x} AS BIGINT) END"
-SHAPES = SEG + f", sh0 AS (SELECT level, concat_ws(' ', {_BK('W', 'words', 9)}, {_BK('P', 'pulses', 17)}, {_BK('A', 'accents', 4)}) AS shape, count(*) AS n FROM sg GROUP BY ALL), sh AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY n DESC, shape) AS rank FROM sh0)"
+SHAPES = SEG + f", sh0 AS (SELECT level, concat_ws(' ', {_BK('W', 'words', 9)}, {_BK('P', 'pulses', 17)}, {_BK('A', 'accents', 4)}) AS shape, count(*) AS n, min(book * 1000000 + segment) AS first FROM sc GROUP BY ALL), sh AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY n DESC, first) AS rank FROM sh0)"
 register("shape_frequency", lambda s, d: H.shapes(H.segments(_pulses(s, d))), SHAPES + " SELECT level, shape, n, rank, round(n / sum(n) OVER (PARTITION BY level), 8) AS share, round(sum(n) OVER (PARTITION BY level ORDER BY rank ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY level), 8) AS cumulative FROM sh")
 register("shape_summary", lambda s, d: H.shape_summary(H.segments(_pulses(s, d))), SHAPES + " SELECT level, count(*) AS kinds, round(CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END, 6) AS normalized_entropy, " + ", ".join(f"round(sum(CASE WHEN rank <= {k} THEN n ELSE 0 END) / sum(n), 8) AS top{k}" for k in (1, 3, 5, 10, 20)) + " FROM (SELECT *, n / sum(n) OVER (PARTITION BY level) AS p FROM sh) GROUP BY level")
 
@@ -110,13 +113,15 @@ register("interval_stream", lambda s, d: I.intervals(_pulses(s, d)), IV + " SELE
 register("interval_metrics", lambda s, d: I.metrics(I.intervals(_pulses(s, d)), ["model", "relation"]), IV + ", f AS (SELECT *, row_number() OVER (PARTITION BY model, relation ORDER BY n DESC, interval) AS rk, n / sum(n) OVER (PARTITION BY model, relation) AS p FROM (SELECT model, relation, interval, count(*) AS n FROM iv GROUP BY ALL)) SELECT model, relation, CAST(sum(n) AS BIGINT) AS n, round(sum(n * interval) / sum(n), 8) AS mean, round(first(med), 8) AS median, count(*) AS kinds, round(CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END, 6) AS normalized_entropy, " + ", ".join(f"round(sum(CASE WHEN rk <= {k} THEN n ELSE 0 END) / sum(n), 8) AS top{k}_share" for k in (1, 3, 5)) + " FROM f JOIN (SELECT model, relation, quantile_cont(interval, 0.5) AS med FROM iv GROUP BY ALL) USING (model, relation) GROUP BY model, relation")
 register("interval_frequency", lambda s, d: H.frequency(I.intervals(_pulses(s, d)), ["model", "relation"], "interval", 30), IV + " SELECT model, relation, CASE WHEN b > 30 THEN '>30' ELSE CAST(b AS VARCHAR) END AS label, n, round(n / sum(n) OVER (PARTITION BY model, relation), 8) AS share, round(sum(n) OVER (PARTITION BY model, relation ORDER BY b ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY model, relation), 8) AS cumulative FROM (SELECT model, relation, least(interval, 31) AS b, count(*) AS n FROM iv GROUP BY ALL)")
 T3 = "SELECT {k}, sum(CASE WHEN rk <= 3 THEN n ELSE 0 END) / sum(n) AS value FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY n DESC, interval) AS rk FROM (SELECT {k}, interval, count(*) AS n FROM {t} GROUP BY ALL)) GROUP BY ALL"
+EN = "SELECT {k}, CASE WHEN count(*) > 1 THEN sum(-p * ln(p)) / ln(count(*)) ELSE 0 END AS value FROM (SELECT {k}, interval, count(*) / sum(count(*)) OVER (PARTITION BY {k}) AS p FROM {t} GROUP BY {k}, interval) GROUP BY ALL"
+_both = lambda k, t: f"SELECT 'top3_share' AS metric, * FROM ({T3.format(k=k, t=t)}) UNION ALL SELECT 'entropy_norm', * FROM ({EN.format(k=k, t=t)})"
 register(
     "interval_contrast_null", lambda s, d: I.contrast_null(I.intervals(_pulses(s, d)).where("model <> 'continuous'"), PERMS),
     IV + f""", v AS (SELECT * FROM iv WHERE model <> 'continuous'), pr AS (SELECT perm_id, v.*, row_number() OVER (PARTITION BY perm_id, book, model ORDER BY i) AS place, row_number() OVER (PARTITION BY perm_id, book, model ORDER BY md5(concat_ws('|', '1', perm_id, book, model, i)), i) AS drawn FROM v, (SELECT unnest(range({PERMS})) AS perm_id)),
-dl AS (SELECT s.perm_id, s.model, s.relation, x.interval FROM pr s JOIN pr x ON s.perm_id = x.perm_id AND s.book = x.book AND s.model = x.model AND s.place = x.drawn),
-o AS ({T3.format(k='model, relation', t='v')}), q AS ({T3.format(k='perm_id, model, relation', t='dl')}),
-seen AS (SELECT a.model, a.value - b.value AS observed FROM o a JOIN o b ON a.model = b.model AND a.relation = 'within' AND b.relation = 'cross_reset'),
-nulls AS (SELECT a.perm_id, a.model, a.value - b.value AS value FROM q a JOIN q b ON a.perm_id = b.perm_id AND a.model = b.model AND a.relation = 'within' AND b.relation = 'cross_reset') """ + summary_sql("model"),
+dl AS (SELECT s.perm_id, s.book, s.model, s.relation, x.interval FROM pr s JOIN pr x ON s.perm_id = x.perm_id AND s.book = x.book AND s.model = x.model AND s.place = x.drawn),
+o AS ({_both('book, model, relation', 'v')}), q AS ({_both('perm_id, book, model, relation', 'dl')}),
+seen AS (SELECT a.book, a.model, a.metric, a.value - b.value AS observed FROM o a JOIN o b ON a.book = b.book AND a.model = b.model AND a.metric = b.metric AND a.relation = 'within' AND b.relation = 'cross_reset'),
+nulls AS (SELECT a.perm_id, a.book, a.model, a.metric, a.value - b.value AS value FROM q a JOIN q b ON a.perm_id = b.perm_id AND a.book = b.book AND a.model = b.model AND a.metric = b.metric AND a.relation = 'within' AND b.relation = 'cross_reset') """ + summary_sql("book model metric"),
 )
 
 register("rhyme_signature", lambda s, d: _stream(s, d).groupBy("pk", "bk", "extended").agg(F.count("*").alias("n")), _signature_sql() + " SELECT pk, bk, extended, count(*) AS n FROM st GROUP BY ALL")
@@ -134,7 +139,7 @@ register("temporal_metrics", lambda s, d: A.temporal_metrics(_arrived(s, d)), _a
 round(CASE WHEN var_pop(value) FILTER (nx IS NOT NULL) * var_pop(nx) > 0 THEN covar_pop(value, nx) / sqrt(var_pop(value) FILTER (nx IS NOT NULL) * var_pop(nx)) ELSE 0 END, 8) AS lag1, count(*) FILTER (value > 0 AND nx > 0) AS adjacent_active FROM (SELECT *, lead(value) OVER (PARTITION BY book ORDER BY i) AS nx FROM ar) GROUP BY book)
 SELECT b.*, coalesce(runs, 0) AS runs, coalesce(longest, 0) AS longest, coalesce(mean_length, 0) AS mean_length, coalesce(strongest, 0) AS strongest FROM b LEFT JOIN (SELECT book, count(*) AS runs, max(length) AS longest, round(avg(length), 8) AS mean_length, max(intensity) AS strongest FROM rn GROUP BY book) USING (book)""")
 register("fano", lambda s, d: A.fano(_arrived(s, d), 10), _arrivals_sql() + f" SELECT book, count(*) AS windows, round(var_pop(total) / nullif(avg(total), 0), 8) AS fano FROM (SELECT book, (i - {WINDOW}) // 10 AS w, sum(value) AS total, count(*) AS n FROM ar GROUP BY ALL) WHERE n = 10 GROUP BY book")
-_BM = " UNION ALL ".join(f"SELECT r.book, '{x}' AS level, count(*) AS runs, count(*) FILTER (a.{x}_id = z.{x}_id) AS inside, count(*) FILTER (coalesce(z.{x}_id <> n.{x}_id, false)) AS ends, count(*) FILTER (coalesce(a.{x}_id <> p.{x}_id, false)) AS starts FROM rn r JOIN ar a ON a.book = r.book AND a.i = r.start JOIN ar z ON z.book = r.book AND z.i = r.\"end\" LEFT JOIN ar n ON n.book = r.book AND n.i = r.\"end\" + 1 LEFT JOIN ar p ON p.book = r.book AND p.i = r.start - 1 GROUP BY r.book" for x in H.LEVELS)
+_BM = ", bk AS (SELECT DISTINCT book FROM ar) " + " UNION ALL ".join(f"SELECT bk.book, '{x}' AS level, coalesce(runs, 0) AS runs, round(coalesce(inside, 0), 8) AS inside, round(coalesce(ends, 0), 8) AS ends, round(coalesce(starts, 0), 8) AS starts FROM bk LEFT JOIN (SELECT r.book, count(*) AS runs, count(*) FILTER (a.{x}_id = z.{x}_id) / count(*) AS inside, count(*) FILTER (z.{x}_id <> z.{x}_after) / count(*) AS ends, count(*) FILTER (a.{x}_id <> a.{x}_before) / count(*) AS starts FROM rn r JOIN ar a ON a.book = r.book AND a.i = r.start JOIN ar z ON z.book = r.book AND z.i = r.\"end\" GROUP BY r.book) m USING (book)" for x in H.LEVELS)
 register("boundary_metrics", lambda s, d: A.boundary_metrics(_arrived(s, d)), _arrivals_sql() + RUNS + " " + _BM)
 CENSOR = ', bd AS (SELECT book, min(i) AS lo, max(i) AS hi FROM ar GROUP BY book), ce AS (SELECT ar.book, ar.i, CASE WHEN r.run_id IS NOT NULL THEN 0 ELSE ar.value END AS value FROM ar LEFT JOIN (SELECT rn.* FROM rn JOIN bd USING (book) WHERE start = lo OR "end" = hi) r ON r.book = ar.book AND ar.i BETWEEN r.start AND r."end")'
 register("edge_censor", lambda s, d: A.edge_censored(_arrived(s, d).select("book", "i", "value")).groupBy("book").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.count_if(F.col("value") > 0).alias("active")), _arrivals_sql() + RUNS + CENSOR + " SELECT book, count(*) AS n, CAST(sum(value) AS BIGINT) AS total, count(*) FILTER (value > 0) AS active FROM ce GROUP BY book")
@@ -142,9 +147,15 @@ register("eligible_shifts", lambda s, d: N.eligible_shifts(_arrived(s, d).select
 register("fixed_blocks", lambda s, d: A.blocks(_arrived(s, d), BLOCK), _arrivals_sql() + f' SELECT book, (i - {WINDOW}) // {BLOCK} + 1 AS block, min(i) AS start, max(i) AS "end", count(*) AS length, CAST(sum(value) AS BIGINT) AS arrivals, count(*) FILTER (value > 0) AS active, count(*) >= {BLOCK // 2} AS included FROM ar GROUP BY book, block')
 register("pooled_scopes", lambda s, d: _arrived(s, d).groupingSets([[], ["lang"]], "lang").agg(F.coalesce("lang", F.lit("ALL")).alias("scope"), F.count("*").alias("positions"), F.count_if(F.col("value") > 0).alias("active")).drop("lang"), _arrivals_sql() + " SELECT coalesce(lang, 'ALL') AS scope, count(*) AS positions, count(*) FILTER (value > 0) AS active FROM ar GROUP BY GROUPING SETS ((), (lang))")
 register("leave_one_out", lambda s, d: _loo(_arrived(s, d)), _arrivals_sql() + ", t AS (SELECT lang, count(*) AS n, count(*) FILTER (value > 0) AS a FROM ar GROUP BY lang) SELECT lang AS excluded, CAST((SELECT sum(n) FROM t) - n AS BIGINT) AS positions, CAST((SELECT sum(a) FROM t) - a AS BIGINT) AS active, round(((SELECT sum(a) FROM t) - a) / nullif((SELECT sum(n) FROM t) - n, 0), 8) AS rate FROM t")
-register("lexical_decomposition", lambda s, d: A.lexical_classes(_arrived(s, d), _arrived(s, d, exclude_exact=True)), None)
-register("segment_inventory", lambda s, d: R.inventory(_arrived(s, d), "minor").groupBy("reason").agg(F.count("*").alias("segments"), F.sum("length").alias("positions")), _arrivals_sql() + ", g AS (SELECT book, minor_id, count(*) AS length, min(i) AS f, max(i) AS l FROM ar GROUP BY ALL) SELECT reason, count(*) AS segments, CAST(sum(length) AS BIGINT) AS positions FROM (SELECT *, CASE WHEN f = min(f) OVER (PARTITION BY book) OR l = max(l) OVER (PARTITION BY book) THEN 'edge' WHEN length < 3 THEN 'short' WHEN length > 40 THEN 'long' ELSE 'eligible' END AS reason FROM g) GROUP BY reason")
-PROF = _arrivals_sql() + ", g AS (SELECT book, major_id, count(*) AS length, min(i) AS f, max(i) AS l FROM ar GROUP BY ALL), g2 AS (SELECT * FROM (SELECT *, f = min(f) OVER (PARTITION BY book) OR l = max(l) OVER (PARTITION BY book) AS edge FROM g) WHERE NOT edge AND length BETWEEN 3 AND 40), ps0 AS (SELECT ar.book, ar.major_id AS segment, ar.i, ar.value, length, row_number() OVER (PARTITION BY ar.book, ar.major_id ORDER BY ar.i) - 1 AS rk, sum(ar.value) OVER (PARTITION BY ar.book, ar.major_id) AS tot FROM ar JOIN g2 ON g2.book = ar.book AND g2.major_id = ar.major_id)"
+for _least in (1, 2):
+    register(
+        "lexical_decomposition" + (f"_t{_least}" if _least > 1 else ""), lambda s, d, k=_least: A.lexical_classes(_arrived(s, d), _arrived(s, d, exclude_exact=True), k),
+        _arrivals_sql().replace("ar AS (", "a3 AS (SELECT *, len(list_filter(h, lambda x: x.exact <> exact AND (x.pk = pk OR coalesce(x.pk = bk, false) OR coalesce(x.bk = pk, false)))) AS other FROM a2), ar AS (") + f""", lc AS (SELECT full_n + bridge_n AS value, other, full_n + bridge_n - other AS same FROM a3)
+SELECT CASE WHEN value < {_least} THEN 'inactive' WHEN same >= {_least} AND other >= {_least} THEN 'mixed' WHEN same >= {_least} THEN 'exact_only' WHEN other >= {_least} THEN 'different_word_only' ELSE 'combined_only_at_threshold' END AS kind,
+count(*) AS positions, CAST(sum(value) AS BIGINT) AS links, CAST(sum(same) AS BIGINT) AS exact_links, CAST(sum(other) AS BIGINT) AS different_links FROM lc GROUP BY 1""",
+    )
+register("segment_inventory", lambda s, d: R.inventory(_arrived(s, d), "minor").groupBy("reason").agg(F.count("*").alias("segments"), F.sum("length").alias("positions")), _arrivals_sql() + ", g AS (SELECT a.book, a.minor_id, length, p.minor_before AS before, n.minor_after AS after FROM (SELECT book, minor_id, count(*) AS length, min(i) AS f, max(i) AS l FROM ar GROUP BY ALL) a JOIN ar p ON p.book = a.book AND p.i = a.f JOIN ar n ON n.book = a.book AND n.i = a.l) SELECT reason, count(*) AS segments, CAST(sum(length) AS BIGINT) AS positions FROM (SELECT *, CASE WHEN before = minor_id THEN 'truncated_by_left_window_edge' WHEN after = minor_id THEN 'truncated_by_corpus_edge' WHEN length < 3 THEN 'below_minimum_length' WHEN length > 40 THEN 'above_maximum_length' ELSE 'eligible' END AS reason FROM g) GROUP BY reason")
+PROF = _arrivals_sql() + ", g AS (SELECT a.book, a.major_id, length, p.major_before AS before, n.major_after AS after FROM (SELECT book, major_id, count(*) AS length, min(i) AS f, max(i) AS l FROM ar GROUP BY ALL) a JOIN ar p ON p.book = a.book AND p.i = a.f JOIN ar n ON n.book = a.book AND n.i = a.l), g2 AS (SELECT * FROM (SELECT *, CASE WHEN before = major_id THEN 'truncated_by_left_window_edge' WHEN after = major_id THEN 'truncated_by_corpus_edge' WHEN length < 3 THEN 'below_minimum_length' WHEN length > 40 THEN 'above_maximum_length' ELSE 'eligible' END AS reason FROM g) WHERE reason = 'eligible'), ps0 AS (SELECT ar.book, ar.major_id AS segment, ar.i, ar.value, length, row_number() OVER (PARTITION BY ar.book, ar.major_id ORDER BY ar.i) - 1 AS rk, sum(ar.value) OVER (PARTITION BY ar.book, ar.major_id) AS tot FROM ar JOIN g2 ON g2.book = ar.book AND g2.major_id = ar.major_id)"
 
 
 def _prof_sql(place: str, value: str, pooled: bool) -> str:
@@ -159,7 +170,7 @@ register("profile_normalized", lambda s, d: R.profile(R.positions(_arrived(s, d)
 register("profile_distance", lambda s, d: R.profile(R.positions(_arrived(s, d), "major", 5, "distance")), _prof_sql(_DIST, "CAST(value AS DOUBLE)", False))
 register("profile_share", lambda s, d: R.profile(R.positions(_arrived(s, d), "major", 5, share=True)), _prof_sql(_NORM, "value / nullif(tot, 0)", False))
 register("profile_token", lambda s, d: R.profile(R.positions(_arrived(s, d), "major", 5), True), _prof_sql(_NORM, "CAST(value AS DOUBLE)", True))
-register("profile_metrics", lambda s, d: R.metrics(R.profile(R.positions(_arrived(s, d), "major", 5))), f"WITH pf AS ({_prof_sql(_NORM, 'CAST(value AS DOUBLE)', False)}) SELECT count(*) AS bins, round(arg_max(mean, bin) - arg_min(mean, bin), 6) AS terminal_contrast, round(regr_slope(mean, bin), 6) AS slope, (SELECT bin FROM pf ORDER BY mean DESC, bin LIMIT 1) AS peak, round(max(mean) - min(mean), 6) AS amplitude FROM pf")
+register("profile_metrics", lambda s, d: R.metrics(R.profile(R.positions(_arrived(s, d), "major", 5))), f"WITH pf AS ({_prof_sql(_NORM, 'CAST(value AS DOUBLE)', False)}) SELECT n AS bins, round(last - first, 6) AS terminal_contrast, round(slope, 6) AS linear_slope, round(last - (total - last) / (n - 1), 6) AS cadence_peak, round(CASE WHEN abs(mid) > 1e-15 THEN var / (mid * mid) ELSE var END, 6) AS profile_energy, round(high - low, 6) AS profile_amplitude FROM (SELECT count(*) AS n, arg_max(mean, bin) AS last, arg_min(mean, bin) AS first, sum(mean) AS total, avg(mean) AS mid, var_pop(mean) AS var, max(mean) AS high, min(mean) AS low, regr_slope(mean, (rk - 0.5) / m) AS slope FROM (SELECT *, row_number() OVER (ORDER BY bin) AS rk, count(*) OVER () AS m FROM pf WHERE mean IS NOT NULL))")
 GROUPS = _signature_sql() + ", mem AS (SELECT 'primary' AS role, pk AS key, exact AS word, count(*) AS n FROM st GROUP BY ALL UNION ALL SELECT 'bridge', bk, exact, count(*) FROM st WHERE bk IS NOT NULL GROUP BY ALL)"
 register("rhyme_full_groups", lambda s, d: _groups(_stream(s, d)).where("role = 'primary'").groupBy("key").agg(F.countDistinct("word").alias("words"), F.sum("n").alias("tokens")).where("words >= 2"), GROUPS + " SELECT key, count(DISTINCT word) AS words, CAST(sum(n) AS BIGINT) AS tokens FROM mem WHERE role = 'primary' GROUP BY key HAVING count(DISTINCT word) >= 2")
 register("rhyme_bridge_groups", lambda s, d: _bridges(_groups(_stream(s, d))), GROUPS + ", o AS (SELECT key, list_sort(list(DISTINCT word)) AS l FROM mem WHERE role = 'primary' GROUP BY key), c AS (SELECT key, list_sort(list(DISTINCT word)) AS l FROM mem WHERE role = 'bridge' GROUP BY key) SELECT key, len(o.l) AS open_words, len(c.l) AS closed_words, len(list_distinct(list_concat(o.l, c.l))) AS words FROM o JOIN c USING (key) WHERE NOT (len(o.l) = 1 AND o.l = c.l) AND len(list_distinct(list_concat(o.l, c.l))) >= 2")

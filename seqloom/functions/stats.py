@@ -35,15 +35,17 @@ def null_summary(null: DataFrame, observed: DataFrame, keys: list[str], sd: str
     """Observed values against their null draws (columns keys, perm_id, value / keys, observed).
 
     ``sd``: "sample" or "population". ``counts`` asks for an SD of 0.5 and three values before a Z is given. ``undefined_z`` is
-    given where the SD is 0. Null draws that are not finite count in ``permutations`` but in nothing else.
+    given where the SD is 0. p_two_sided is twice the smaller tail, p_distance counts draws as far from their mean. Null draws that are not finite count in ``permutations`` but in nothing else.
     """
     fine = F.col("value").isNotNull() & ~F.isnan("value")
     spread = F.stddev_samp if sd == "sample" else F.stddev_pop
     value = F.when(fine, F.col("value").cast("double"))
     joined = null.withColumn("value", F.col("value").cast("double")).join(observed, keys)
+    joined = joined.withColumn("_mid", F.avg(value).over(Window.partitionBy(*keys)))
+    far = F.abs(value - F.col("_mid")) >= F.abs(F.col("observed") - F.col("_mid")) - 1e-9
     got = joined.groupBy(*keys).agg(
         F.first("observed").alias("observed"), F.count("*").alias("permutations"), F.avg(value).alias("null_mean"), F.coalesce(spread(value), F.lit(0.0)).alias("null_sd"),
-        F.countDistinct(F.round(value, 9)).alias("unique_values"), F.sum((value >= F.col("observed") - 1e-12).cast("int")).alias("at_least"), F.sum((value <= F.col("observed") + 1e-12).cast("int")).alias("at_most"), F.count(value).alias("finite"),
+        F.countDistinct(F.round(value, 9)).alias("unique_values"), F.sum((value >= F.col("observed") - 1e-12).cast("int")).alias("at_least"), F.sum((value <= F.col("observed") + 1e-12).cast("int")).alias("at_most"), F.count(value).alias("finite"), F.sum(far.cast("int")).alias("as_far"),
     )
     gate = (F.col("null_sd") >= 0.5) & (F.col("unique_values") >= 3) if counts else F.col("null_sd") > 1e-12
     upper, lower = (F.col("at_least") + 1) / (F.col("finite") + 1), (F.col("at_most") + 1) / (F.col("finite") + 1)
@@ -51,8 +53,9 @@ def null_summary(null: DataFrame, observed: DataFrame, keys: list[str], sd: str
     if undefined_z is not None:
         z = F.coalesce(z, F.lit(undefined_z))
     return got.select(
-        *keys, rounded("observed").alias("observed"), "permutations", rounded("null_mean").alias("null_mean"), rounded("null_sd", 6).alias("null_sd"),
-        rounded(z, 6).alias("z"), rounded(upper).alias("p_upper"), rounded(lower).alias("p_lower"), rounded(F.least(F.lit(1.0), 2 * F.least(upper, lower))).alias("p_two_sided"),
+        *keys, rounded("observed").alias("observed"), "permutations", (rounded("null_mean") + 0.0).alias("null_mean"), rounded("null_sd", 6).alias("null_sd"),
+        (rounded(z, 6) + 0.0).alias("z"), rounded(upper).alias("p_upper"), rounded(lower).alias("p_lower"), rounded(F.least(F.lit(1.0), 2 * F.least(upper, lower))).alias("p_two_sided"),
+        rounded((F.col("as_far") + 1) / (F.col("finite") + 1)).alias("p_distance"),
     )
 
 

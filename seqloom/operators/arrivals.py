@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 
 
+LEVELS = ("verse", "major", "minor")
+
+
 def _by():
     return Window.partitionBy("book").orderBy("i")
 
 
 def arrivals(stream: DataFrame, window: int = 20, exclude_exact: bool = False, match: str = "all", exclude_extended: bool = False) -> DataFrame:
-    """``stream`` (book, i, pk, bk, exact, extended) from position ``window`` on, with full, bridge, same_word, value."""
+    """``stream`` (book, i, pk, bk, exact, extended) from position ``window`` on, with full, bridge, same_word, value.
+
+    Each row also has its neighbours' segment ids in the whole stream (verse_before, verse_after and so on).
+    """
     before = F.collect_list(F.struct("pk", "bk", "exact", "extended")).over(_by().rowsBetween(-window, -1))
-    rows = stream.withColumn("_before", before).where(F.col("i") >= window)
+    edges = {f"{x}_{side}": f(f"{x}_id").over(_by()) for x in LEVELS if f"{x}_id" in stream.columns for side, f in (("before", F.lag), ("after", F.lead))}
+    rows = stream.withColumns({"_before": before, **edges}).where(F.col("i") >= window)
     allowed = lambda x: (~F.lit(exclude_exact) | (x["exact"] != F.col("exact"))) & (~F.lit(exclude_extended) | ~(x["extended"] | F.col("extended")))
     same = lambda x: x["pk"] == F.col("pk")
     crossed = lambda x: F.coalesce(x["pk"] == F.col("bk"), F.lit(False)) | F.coalesce(x["bk"] == F.col("pk"), F.lit(False))
@@ -57,25 +64,22 @@ def fano(rows: DataFrame, width: int) -> DataFrame:
     return sums.groupBy("book").agg(F.count("*").alias("windows"), S.rounded(S.ratio(F.var_pop("total"), F.avg("total"))).alias("fano"))
 
 
-def boundary_metrics(rows: DataFrame, levels: tuple[str, ...] = ("verse", "major", "minor")) -> DataFrame:
-    """For each level how many runs lie in one segment, and how many end or begin at a segment's edge; all runs count."""
-    ids = rows.select("book", "i", *(f"{x}_id" for x in levels))
-    after = ids.select("book", (F.col("i") - 1).alias("i"), *(F.col(f"{x}_id").alias(f"{x}_after") for x in levels))
-    before = ids.select("book", (F.col("i") + 1).alias("i"), *(F.col(f"{x}_id").alias(f"{x}_before") for x in levels))
-    placed = ids.join(after, ["book", "i"], "left").join(before, ["book", "i"], "left")
-    r = runs(rows)
-    starts = placed.select("book", F.col("i").alias("start"), *(F.struct(f"{x}_id", f"{x}_before").alias(f"s_{x}") for x in levels))
-    ends = placed.select("book", F.col("i").alias("end"), *(F.struct(f"{x}_id", f"{x}_after").alias(f"e_{x}") for x in levels))
-    r = r.join(starts, ["book", "start"]).join(ends, ["book", "end"])
-    parts = [
-        F.struct(
-            F.lit(x).alias("level"), (F.col(f"s_{x}.{x}_id") == F.col(f"e_{x}.{x}_id")).alias("inside"),
-            F.coalesce(F.col(f"e_{x}.{x}_id") != F.col(f"e_{x}.{x}_after"), F.lit(False)).alias("ends"), F.coalesce(F.col(f"s_{x}.{x}_id") != F.col(f"s_{x}.{x}_before"), F.lit(False)).alias("starts"),
-        )
-        for x in levels
-    ]
+def boundary_metrics(rows: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """For each book and level the shares of runs that lie in one segment, end at its end, or start after another's end.
+
+    Neighbours are those of the whole stream, also before its first eligible position. A book without runs has shares of 0.
+    """
+    on = F.col("value") > 0
+    begins = on & ~F.coalesce(F.lag(on).over(_by()), F.lit(False))
+    r = rows.withColumn("run_id", F.sum(begins.cast("long")).over(_by()))
+    edges = [x for l in levels for x in (F.min_by(f"{l}_id", "i").alias(f"{l}_a"), F.max_by(f"{l}_id", "i").alias(f"{l}_z"), F.min_by(f"{l}_before", "i").alias(f"{l}_b"), F.max_by(f"{l}_after", "i").alias(f"{l}_n"))]
+    r = r.where("value > 0").groupBy("book", "run_id").agg(*edges)
+    parts = [F.struct(F.lit(l).alias("level"), (F.col(f"{l}_a") == F.col(f"{l}_z")).alias("inside"), (F.col(f"{l}_n") != F.col(f"{l}_z")).alias("ends"), (F.col(f"{l}_b") != F.col(f"{l}_a")).alias("starts")) for l in levels]
     long = r.select("book", F.explode(F.array(*parts)).alias("p")).select("book", "p.*")
-    return long.groupBy("book", "level").agg(F.count("*").alias("runs"), F.count_if("inside").alias("inside"), F.count_if("ends").alias("ends"), F.count_if("starts").alias("starts"))
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(c)
+    got = long.groupBy("book", "level").agg(F.count("*").alias("runs"), share("inside"), share("ends"), share("starts"))
+    every = rows.select("book").distinct().select("book", F.explode(F.array(*map(F.lit, levels))).alias("level"))
+    return every.join(got, ["book", "level"], "left").select("book", "level", F.coalesce("runs", F.lit(0)).alias("runs"), *(S.rounded(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("inside", "ends", "starts")))
 
 
 def edge_censored(rows: DataFrame) -> DataFrame:
@@ -93,9 +97,12 @@ def blocks(rows: DataFrame, size: int, least: float = 0.5) -> DataFrame:
     return got.withColumn("included", F.col("length") >= F.ceil(F.lit(size * least)))
 
 
-def lexical_classes(rows: DataFrame, different: DataFrame) -> DataFrame:
-    """Positions by what their links hold: none, only the same word, only other words, both."""
+def lexical_classes(rows: DataFrame, different: DataFrame, least: int = 1) -> DataFrame:
+    """Positions and links by what a position holds ``least`` times: nothing, the same word, other words, both, or both only
+    taken together. ``different`` are the same positions without links of equal words; more of those than of all is an error.
+    """
     two = rows.select("book", "i", "value").join(different.select("book", "i", F.col("value").alias("other")), ["book", "i"])
-    same = F.col("value") - F.col("other")
-    kind = F.when(F.col("value") == 0, "none").when(F.col("other") == 0, "same_word_only").when(same == 0, "different_word_only").otherwise("both")
-    return two.groupBy(kind.alias("kind")).agg(F.count("*").alias("positions"), F.sum("value").alias("links"), F.sum("other").alias("different_links"))
+    same = F.when(F.col("value") < F.col("other"), F.raise_error(F.lit("more links of other words than of all"))).otherwise(F.col("value") - F.col("other"))
+    two = two.withColumn("same", same.cast("long"))
+    kind = F.when(F.col("value") < least, "inactive").when((F.col("same") >= least) & (F.col("other") >= least), "mixed").when(F.col("same") >= least, "exact_only").when(F.col("other") >= least, "different_word_only")
+    return two.groupBy(kind.otherwise("combined_only_at_threshold").alias("kind")).agg(F.count("*").alias("positions"), F.sum("value").alias("links"), F.sum("same").alias("exact_links"), F.sum("other").alias("different_links"))

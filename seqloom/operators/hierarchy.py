@@ -19,11 +19,20 @@ def segments(rows: DataFrame) -> DataFrame:
     )
 
 
+def complete(seg: DataFrame) -> DataFrame:
+    """Segments whose end is marked; a trailing rest of a book is none of them, and no statistic counts it."""
+    return seg.where("complete")
+
+
 def relations(rows: DataFrame) -> DataFrame:
-    """(book, relation, parent): number of children and their sizes in order. The parent of a child is that of its words."""
+    """(book, relation, parent): number of children and their sizes in order. The parent of a child is that of its words.
+
+    Parents and children whose end is not marked are left out.
+    """
     out = None
     for up, down in RELATIONS:
-        child = rows.groupBy("book", F.col(f"{up}_id").alias("parent"), F.col(f"{down}_id").alias("child")).agg(F.count("*").alias("words"))
+        child = rows.groupBy("book", F.col(f"{up}_id").alias("parent"), F.col(f"{down}_id").alias("child")).agg(F.count("*").alias("words"), F.max(f"ends_{down}").alias("whole"), F.max(f"ends_{up}").alias("ends"))
+        child = child.withColumn("closed", F.max("ends").over(Window.partitionBy("book", "parent"))).where("whole and closed")
         one = child.groupBy("book", F.lit(f"{up}>{down}").alias("relation"), "parent").agg(
             F.count("*").alias("children"), F.sum("words").alias("words"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("child", "words"))), lambda x: x["words"].cast("string")), "-").alias("sizes")
         )
@@ -33,7 +42,7 @@ def relations(rows: DataFrame) -> DataFrame:
 
 def validation(rows: DataFrame) -> DataFrame:
     """Whether each parent's words and pulses are those of its children."""
-    seg = segments(rows)
+    seg = complete(segments(rows))
     out = None
     for up, down in RELATIONS:
         at = rows.select("book", F.col(f"{up}_id").alias("parent"), F.col(f"{down}_id").alias("segment")).distinct()
@@ -46,7 +55,7 @@ def validation(rows: DataFrame) -> DataFrame:
 
 
 def level_summary(seg: DataFrame) -> DataFrame:
-    long = seg.select("level", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("x")) for f in ("words", "pulses", "accents")))).alias("v")).select("level", "v.*")
+    long = complete(seg).select("level", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("x")) for f in ("words", "pulses", "accents")))).alias("v")).select("level", "v.*")
     return long.groupBy("level", "field").agg(
         F.count("*").alias("n"), F.countDistinct("x").alias("kinds"), S.rounded(F.avg("x")).alias("mean"), S.rounded(F.stddev_samp("x"), 6).alias("sd"), S.rounded(F.percentile("x", F.lit(0.5))).alias("median"), F.min("x").alias("least"), F.max("x").alias("most")
     )
@@ -74,11 +83,11 @@ def bucket(name: str, x, most: int):
 
 
 def shapes(seg: DataFrame) -> DataFrame:
-    """Shape strings of segments by level with count, rank and cumulative share."""
-    named = seg.select("level", F.concat_ws(" ", bucket("W", F.col("words"), 9), bucket("P", F.col("pulses"), 17), bucket("A", F.col("accents"), 4)).alias("shape"))
-    n = named.groupBy("level", "shape").agg(F.count("*").alias("n"))
+    """Shape strings of complete segments by level with count, rank (ties: first seen) and cumulative share."""
+    named = complete(seg).select("level", "book", "segment", F.concat_ws(" ", bucket("W", F.col("words"), 9), bucket("P", F.col("pulses"), 17), bucket("A", F.col("accents"), 4)).alias("shape"))
+    n = named.groupBy("level", "shape").agg(F.count("*").alias("n"), F.min(F.struct("book", "segment")).alias("first"))
     whole = Window.partitionBy("level")
-    order = whole.orderBy(F.desc("n"), "shape")
+    order = whole.orderBy(F.desc("n"), "first")
     out = n.withColumn("rank", F.row_number().over(order).cast("long"))
     running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return out.select("level", "shape", "n", "rank", S.rounded(S.ratio("n", F.sum("n").over(whole))).alias("share"), S.rounded(S.ratio(running, F.sum("n").over(whole))).alias("cumulative"))
@@ -93,8 +102,8 @@ def shape_summary(seg: DataFrame) -> DataFrame:
 
 
 def size_ngrams(seg: DataFrame, k: int, most: int) -> DataFrame:
-    """Commonest runs of ``k`` segment sizes inside books."""
+    """Commonest runs of ``k`` sizes of complete segments inside books; ties go to the run seen first."""
     by = Window.partitionBy("book", "level").orderBy("segment")
-    grams = seg.select("level", *(F.lead("words", i).over(by).alias(f"g{i}") for i in range(k))).where(F.col(f"g{k - 1}").isNotNull())
-    n = grams.groupBy("level", F.concat_ws("-", *(F.col(f"g{i}").cast("string") for i in range(k))).alias("gram")).agg(F.count("*").alias("n"))
-    return S.ranked(n, ["level"], F.desc("n"), "gram").where(F.col("rank") <= most)
+    grams = complete(seg).select("level", "book", "segment", *(F.lead("words", i).over(by).alias(f"g{i}") for i in range(k))).where(F.col(f"g{k - 1}").isNotNull())
+    n = grams.groupBy("level", F.concat_ws("-", *(F.col(f"g{i}").cast("string") for i in range(k))).alias("gram")).agg(F.count("*").alias("n"), F.min(F.struct("book", "segment")).alias("first"))
+    return S.ranked(n, ["level"], F.desc("n"), F.col("first")).where(F.col("rank") <= most).drop("first")

@@ -39,15 +39,27 @@ def top3(rows: DataFrame, by: list[str]) -> DataFrame:
     return S.ranked(n, by, F.desc("n"), "interval").groupBy(*by).agg((F.sum(F.when(F.col("rank") <= 3, F.col("n")).otherwise(0)).cast("double") / F.sum("n")).alias("value"))
 
 
+def _normal_entropy(rows: DataFrame, by: list[str]) -> DataFrame:
+    return S.entropy(rows.groupBy(*by, "interval").agg(F.count("*").alias("n")), by, base=None).select(*by, F.col("normalized_entropy").alias("value"))
+
+
 def contrast_null(rows: DataFrame, permutations: int, seed: int = 1, kind: str = "shuffle") -> DataFrame:
-    """Share of the three commonest intervals within segments minus that across them, pooled over books, against dealt intervals."""
+    """Within-segment minus cross-segment share of the three commonest intervals, and the same of normalised entropy.
+
+    Each book and model is tested against its own intervals dealt anew; p_upper is meant for the share, p_lower for the entropy.
+    A book without intervals on both sides has no row.
+    """
     deal = N.shuffled if kind == "shuffle" else N.cyclic
     labels = rows.select("book", "model", "i", "relation")
     dealt = deal(rows, "interval", permutations, seed, ("book", "model"), "i").join(labels, ["book", "model", "i"])
 
     def difference(df, keys):
-        sides = top3(df, [*keys, "model", "relation"]).groupBy(*keys, "model").pivot("relation", ["within", "cross_reset"]).agg(F.first("value"))
-        return sides.where("within is not null and cross_reset is not null").select(*keys, "model", (F.col("within") - F.col("cross_reset")).alias("value"))
+        out = None
+        for metric, measure in (("top3_share", top3), ("entropy_norm", _normal_entropy)):
+            sides = measure(df, [*keys, "book", "model", "relation"]).groupBy(*keys, "book", "model").pivot("relation", ["within", "cross_reset"]).agg(F.first("value"))
+            one = sides.where("within is not null and cross_reset is not null").select(*keys, "book", "model", F.lit(metric).alias("metric"), (F.col("within") - F.col("cross_reset")).alias("value"))
+            out = one if out is None else out.unionByName(one)
+        return out
 
     seen = difference(rows, []).withColumnRenamed("value", "observed")
-    return S.null_summary(difference(dealt, ["perm_id"]), seen, ["model"])
+    return S.null_summary(difference(dealt, ["perm_id"]), seen, ["book", "model", "metric"])

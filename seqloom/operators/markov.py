@@ -24,16 +24,20 @@ def accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return best.groupBy(*keys).agg((F.sum("best").cast("double") / F.sum("n")).alias("value"))
 
 
-def split_accuracy(stream: DataFrame, share: float = 0.7, kind: str = "chronological", seed: int = 1) -> DataFrame:
-    """Accuracy on held-out pairs of the commonest next symbol in the others; symbols never seen get the commonest of all."""
+def split_accuracy(stream: DataFrame, share: float = 0.8, kind: str = "chronological", seed: int = 1) -> DataFrame:
+    """Accuracy on held-out pairs of the commonest next symbol in the others; symbols never seen get the commonest of all.
+
+    Ties go to the symbol that the training pairs hold first. At least one pair is learnt from; a lone pair is its own test.
+    """
     pairs = G.bigrams(stream)
     order = [F.col("pos")] if kind == "chronological" else [N.draw_key(seed, "book", "pos"), F.col("pos")]
     by = Window.partitionBy("book")
     pairs = pairs.withColumn("place", F.row_number().over(by.orderBy(*order))).withColumn("n", F.count("*").over(by))
-    train = pairs.where(F.col("place") <= F.floor(F.col("n") * share))
-    test = pairs.where(F.col("place") > F.floor(F.col("n") * share))
-    model = S.ranked(train.groupBy("book", "a", "b").agg(F.count("*").alias("n")), ["book", "a"], F.desc("n"), "b").where("rank = 1").select("book", "a", F.col("b").alias("guess"))
-    common = S.ranked(train.groupBy("book", "b").agg(F.count("*").alias("n")), ["book"], F.desc("n"), "b").where("rank = 1").select("book", F.col("b").alias("default"))
+    last = F.greatest(F.lit(1), F.floor(F.col("n") * share))
+    train, test = pairs.where(F.col("place") <= last), pairs.where((F.col("place") > last) | (F.col("n") == 1))
+    seen = (F.count("*").alias("n"), F.min("place").alias("first"))
+    model = S.ranked(train.groupBy("book", "a", "b").agg(*seen), ["book", "a"], F.desc("n"), F.col("first")).where("rank = 1").select("book", "a", F.col("b").alias("guess"))
+    common = S.ranked(train.groupBy("book", "b").agg(*seen), ["book"], F.desc("n"), F.col("first")).where("rank = 1").select("book", F.col("b").alias("default"))
     scored = test.join(model, ["book", "a"], "left").join(common, "book", "left")
     hit = F.coalesce(F.coalesce("guess", "default") == F.col("b"), F.lit(False))
     return scored.groupBy("book").agg(F.count("*").alias("tested"), F.count_if(hit).alias("hits"), S.rounded(F.avg(hit.cast("double"))).alias("accuracy"))

@@ -9,11 +9,13 @@ from ..functions import stats as S
 
 
 def inventory(rows: DataFrame, level: str, least: int = 3, most: int = 40) -> DataFrame:
-    """(book, segment): length and why it is left out, if it is: its edges are the stream's, or its length is out of bounds."""
-    book = Window.partitionBy("book")
-    seg = rows.groupBy("book", F.col(f"{level}_id").alias("segment")).agg(F.count("*").alias("length"), F.min("i").alias("first"), F.max("i").alias("last"))
-    edge = (F.col("first") == F.min("first").over(book)) | (F.col("last") == F.max("last").over(book))
-    reason = F.when(edge, "edge").when(F.col("length") < least, "short").when(F.col("length") > most, "long").otherwise("eligible")
+    """(book, segment): length and why it is left out, if it is.
+
+    A segment is cut where the word before its first, or after its last position here belongs to it too.
+    """
+    seg = rows.groupBy("book", F.col(f"{level}_id").alias("segment")).agg(F.count("*").alias("length"), F.min("i").alias("first"), F.max("i").alias("last"), F.min_by(f"{level}_before", "i").alias("before"), F.max_by(f"{level}_after", "i").alias("after"))
+    cut = lambda c: F.coalesce(F.col(c) == F.col("segment"), F.lit(False))
+    reason = F.when(cut("before"), "truncated_by_left_window_edge").when(cut("after"), "truncated_by_corpus_edge").when(F.col("length") < least, "below_minimum_length").when(F.col("length") > most, "above_maximum_length").otherwise("eligible")
     return seg.select("book", "segment", "length", "first", "last", reason.alias("reason"))
 
 
@@ -40,9 +42,20 @@ def profile(pos: DataFrame, pooled: bool = False) -> DataFrame:
 
 
 def metrics(prof: DataFrame) -> DataFrame:
-    """Terminal contrast, slope, peak place, amplitude of a profile."""
-    rows = prof.where("mean is not null")
-    return rows.agg(
-        F.count("*").alias("bins"), S.rounded(F.max_by("mean", "bin") - F.min_by("mean", "bin"), 6).alias("terminal_contrast"), S.rounded(F.regr_slope("mean", "bin"), 6).alias("slope"),
-        F.max_by("bin", F.struct("mean", -F.col("bin"))).alias("peak"), S.rounded(F.max("mean") - F.min("mean"), 6).alias("amplitude"),
+    """Terminal contrast, slope over (i + 0.5) / n, last bin over the mean of the others, energy relative to the squared mean, amplitude.
+
+    ``prof`` has one row per bin; bins without a mean do not count. Null where fewer than two bins have one.
+    """
+    rows = F.sort_array(F.collect_list(F.when(F.col("mean").isNotNull(), F.struct("bin", "mean"))))
+    v = prof.agg(F.transform(rows, lambda x: x["mean"]).alias("v")).withColumn("n", F.size("v")).withColumn("sum", F.aggregate("v", F.lit(0.0), lambda a, x: a + x))
+    v = v.withColumn("avg", F.col("sum") / F.nullif(F.col("n"), F.lit(0))).withColumn("last", F.get("v", F.col("n") - 1))
+    place = lambda i: (i + 0.5) / F.col("n") - 0.5
+    cross = F.aggregate(F.transform("v", lambda x, i: place(i) * (x - F.col("avg"))), F.lit(0.0), lambda a, x: a + x)
+    spread = F.aggregate(F.transform("v", lambda x, i: place(i) * place(i)), F.lit(0.0), lambda a, x: a + x)
+    energy = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("avg")) * (x - F.col("avg"))) / F.col("n")
+    energy = F.when(F.abs("avg") > 1e-15, energy / (F.col("avg") * F.col("avg"))).otherwise(energy)
+    two = lambda x: S.rounded(F.when(F.col("n") >= 2, x), 6)
+    return v.select(
+        F.col("n").cast("long").alias("bins"), two(F.col("last") - F.get("v", F.lit(0))).alias("terminal_contrast"), two(cross / spread).alias("linear_slope"),
+        two(F.col("last") - (F.col("sum") - F.col("last")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("cadence_peak"), two(energy).alias("profile_energy"), two(F.array_max("v") - F.array_min("v")).alias("profile_amplitude"),
     )

@@ -63,7 +63,7 @@ class Reconstruction:
         total = train.groupBy("fset", "fold").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.count_if(F.col("p") + F.col("q") > 0).alias("vocab"))
         flat = rows.select("fset", "fold", "book", "pos", "gold", F.explode("features").alias("feature"))
         flat = flat.join(train, ["fset", "fold", "feature"], "left").join(F.broadcast(total), ["fset", "fold"]).join(F.broadcast(prior), ["fset", "fold"])
-        term = F.log((F.coalesce("p", F.lit(0)) + a) / (F.col("sp") + F.col("vocab") + a)) - F.log((F.coalesce("q", F.lit(0)) + a) / (F.col("sq") + F.col("vocab") + a))
+        term = F.log((F.coalesce("p", F.lit(0)) + a) / (F.col("sp") + a * F.greatest(F.lit(1), "vocab"))) - F.log((F.coalesce("q", F.lit(0)) + a) / (F.col("sq") + a * F.greatest(F.lit(1), "vocab")))
         n = F.col("np") + F.col("nq") + 2 * a
         odds = F.log((F.col("np") + a) / n) - F.log((F.col("nq") + a) / n)
         return flat.groupBy("fset", "fold", "book", "pos", "gold").agg(F.round(F.first(odds) + F.sum(term), 6).alias("score"))
@@ -86,7 +86,7 @@ class Reconstruction:
         """Features that speak most for and against a boundary; one that does both counts as for."""
         a, by = self.alpha, Window.partitionBy("fset")
         whole = self._counts(self._rows()).groupBy("fset", "feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-        share = lambda c: F.log((F.col(c) + a) / (F.sum(c).over(by) + F.count("*").over(by) + a))
+        share = lambda c: F.log((F.col(c) + a) / (F.sum(c).over(by) + a * F.count("*").over(by)))
         w = whole.withColumn("weight", F.round(share("p") - share("q"), 6))
         w = w.withColumn("up", F.row_number().over(by.orderBy(F.desc("weight"), "feature"))).withColumn("down", F.row_number().over(by.orderBy("weight", "feature")))
         return w.where((F.col("up") <= most) | (F.col("down") <= most)).select("fset", "feature", "p", "q", "weight", F.when(F.col("up") <= most, "positive").otherwise("negative").alias("side"))

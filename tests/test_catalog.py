@@ -6,7 +6,8 @@ import pytest
 from seqloom import catalog
 from seqloom.config import NullSpec, profile_map, profile_name
 from seqloom.functions import phonetics as P
-from seqloom.operators import arrivals, grammar, words
+from seqloom.functions import stats
+from seqloom.operators import arrivals, grammar, hierarchy, markov, profiles, reconstruct, words
 from seqloom.plans import nulls
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,73 @@ def test_shuffles_keep_values(spark):
         rows = deal(stream, "sym", 3, 1).collect()
         for p in range(3):
             assert sorted(r["sym"] for r in rows if r["perm_id"] == p) == list("abcde")
+
+
+def test_split_accuracy_by_hand(spark):
+    # pairs zb zc zc zb zd: of the first four b and c tie, b was seen first and fails on d; then a last pair that b wins
+    for text, hits in (("zbzczczbzd", 1), ("zbzczczbzb", 2)):
+        stream = spark.createDataFrame([("b", i, s) for i, s in enumerate(text)], "book string, pos long, sym string")
+        got = markov.split_accuracy(stream, 0.8).first()
+        assert (got["tested"], got["hits"]) == (2, hits)  # nine pairs, seven learnt from; (b or c, z) is always right
+    assert markov.split_accuracy(spark.createDataFrame([("b", 0, "x"), ("b", 1, "y")], "book string, pos long, sym string"), 0.8).first()["accuracy"] == 1.0
+
+
+def test_smoothing_by_hand(spark):
+    made = reconstruct.Reconstruction(spark.createDataFrame([("b", 0, "x")], "book string, pos long, sym string"), ("m",), ("g",), 2, 2)
+    made.alpha = 0.5
+    rows = [("s", 0, "b", 1, 0, True, ["f"]), ("s", 0, "b", 2, 0, False, ["h"]), ("s", 1, "b", 3, 1, True, ["f"]), ("s", 1, "b", 4, 1, False, ["f"])]
+    frame = spark.createDataFrame(rows, "fset string, fold long, book string, pos long, unit long, gold boolean, features array<string>")
+    made._rows = lambda: frame
+    import math
+
+    got = {r["pos"]: r["score"] for r in made.scores().collect()}
+    # fold 1 learns from one f (gold) and one h (not): vocabulary 2, so (1 + .5) / (1 + .5 * 2) against (0 + .5) / (1 + .5 * 2)
+    assert got[3] == got[4] == round(math.log(1.5 / 2) - math.log(0.5 / 2), 6)
+
+
+def test_incomplete_segments_do_not_count(spark):
+    # words a b. c d, e  -> verses (a b.) and the rest, which has no end; minors (a b.) (c d,) and the rest
+    rows = [("b", i, 1, None, v, j, n, ev, ev, en) for i, (v, j, n, ev, en) in enumerate([(0, 0, 0, False, False), (0, 0, 0, True, True), (1, 1, 1, False, False), (1, 1, 1, False, True), (1, 1, 2, False, False)])]
+    words_ = spark.createDataFrame(rows, "book string, pos long, pulses long, accent long, verse_id long, major_id long, minor_id long, ends_verse boolean, ends_major boolean, ends_minor boolean")
+    seg = hierarchy.segments(words_)
+    summary = {(r["level"], r["field"]): r["n"] for r in hierarchy.level_summary(seg).collect()}
+    assert summary["verse", "words"] == 1 and summary["minor", "words"] == 2
+    assert [(r["relation"], r["parent"], r["sizes"]) for r in hierarchy.relations(words_).orderBy("relation").collect()] == [("major>minor", 0, "2"), ("verse>major", 0, "2"), ("verse>minor", 0, "2")]
+
+
+def test_boundaries_and_inventory_by_hand(spark):
+    # the window hides positions 0 and 1; segments are 0 1 | 2 3 4 | 5 6 | 7, values from position 2 on
+    seg, value = [0, 0, 1, 1, 1, 2, 2, 3], {2: 1, 3: 1, 4: 1, 5: 0, 6: 2, 7: 1}
+    rows = [("b", i, v, *[seg[i]] * 3, *([seg[i - 1]] * 3 if i else [None] * 3), *([seg[i + 1]] * 3 if i < 7 else [None] * 3)) for i, v in value.items()]
+    names = ", ".join(f"{x}_{k} long" for k in ("id", "before", "after") for x in ("verse", "major", "minor"))
+    frame = spark.createDataFrame(rows, f"book string, i long, value long, {names}")
+    got = arrivals.boundary_metrics(frame).where("level = 'minor'").first()
+    # run 2-4 starts after a boundary, stays in its segment and ends it; run 6-7 does none of these but the last word has no end
+    assert (got["runs"], got["inside"], got["ends"], got["starts"]) == (2, 0.5, 0.5, 0.5)
+    kinds = {r["segment"]: r["reason"] for r in profiles.inventory(frame, "minor", 2, 40).collect()}
+    assert kinds == {1: "eligible", 2: "eligible", 3: "below_minimum_length"}
+    late = {r["segment"]: r["reason"] for r in profiles.inventory(frame.where("i > 2"), "minor", 2, 40).collect()}
+    assert late[1] == "truncated_by_left_window_edge"
+
+
+def test_profile_metrics_by_hand(spark):
+    got = profiles.metrics(spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 6.0)], "bin long, mean double")).first()
+    # mean 3, squares 4 1 9; slope over 1/6 1/2 5/6: (1/3) (6 - 1) / (2/9)
+    assert (got["bins"], got["terminal_contrast"], got["linear_slope"], got["cadence_peak"], got["profile_energy"], got["profile_amplitude"]) == (3, 5.0, 7.5, 4.5, round(14 / 3 / 9, 6), 5.0)
+    assert profiles.metrics(spark.createDataFrame([(0, 1.0)], "bin long, mean double")).first()["linear_slope"] is None
+
+
+def test_null_summary_by_hand(spark):
+    null = spark.createDataFrame([("k", p, v) for p, v in enumerate([1.0, 2.0, 3.0, 6.0])], "k string, perm_id long, value double")
+    got = stats.null_summary(null, spark.createDataFrame([("k", 5.0)], "k string, observed double"), ["k"]).first()
+    # mean 3, distances 2 1 0 3 against 2
+    assert (got["p_upper"], got["p_lower"], got["p_two_sided"], got["p_distance"]) == (0.4, 0.8, 0.8, 0.6)
+
+
+def test_lexical_classes_by_hand(spark):
+    every = spark.createDataFrame([("b", i, v) for i, v in enumerate([0, 2, 2, 4, 2])], "book string, i long, value long")
+    other = spark.createDataFrame([("b", i, v) for i, v in enumerate([0, 0, 2, 2, 1])], "book string, i long, value long")
+    kinds = {r["kind"]: (r["positions"], r["exact_links"], r["different_links"]) for r in arrivals.lexical_classes(every, other, 2).collect()}
+    assert kinds == {"inactive": (1, 0, 0), "exact_only": (1, 2, 0), "different_word_only": (1, 0, 2), "mixed": (1, 2, 2), "combined_only_at_threshold": (1, 1, 1)}
+    with pytest.raises(Exception, match="more links"):
+        arrivals.lexical_classes(other, every.withColumn("value", every["value"] + 1)).collect()
