@@ -14,7 +14,8 @@ from .plans import nulls as N
 from .sources.tables import mark_events
 
 CORE, CADENCE = ("purchase", "signup", "click"), ("purchase", "signup")
-P = 5
+#: Permutations of the registered nulls; the operators take any number.
+P = 20
 
 EV = """WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS book, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS sym FROM events),
 bg AS (SELECT * FROM (SELECT book, pos, sym AS a, lead(sym) OVER (PARTITION BY book ORDER BY pos) AS b FROM ev) WHERE b IS NOT NULL),
@@ -121,8 +122,9 @@ SELECT book, count(*) AS tested, count(*) FILTER (coalesce(guess, dflt) = b) AS
     )
 register(
     "transition_perm_test", on_events(lambda s: M.transition_test(s, P)),
-    EV + PERM + f""", seen AS (SELECT book, 'conditional_entropy' AS metric, value AS observed FROM ({CE.format(k='book', t='bg')}) UNION ALL SELECT book, 'accuracy', value FROM ({ACC.format(k='book', t='bg')})),
-nulls AS (SELECT perm_id, book, 'conditional_entropy' AS metric, value FROM ({CE.format(k='perm_id, book', t='pbg')}) UNION ALL SELECT perm_id, book, 'accuracy', value FROM ({ACC.format(k='perm_id, book', t='pbg')})) """ + summary_sql("book metric"),
+    EV + PERM + f""", own AS (SELECT book, sum(-p * log2(p)) AS own FROM (SELECT book, sym, count(*) / sum(count(*)) OVER (PARTITION BY book) AS p FROM ev GROUP BY book, sym) GROUP BY book),
+seen AS (SELECT book, 'conditional_entropy' AS metric, value AS observed FROM ({CE.format(k='book', t='bg')}) UNION ALL SELECT book, 'entropy_reduction', own - value FROM ({CE.format(k='book', t='bg')}) JOIN own USING (book) UNION ALL SELECT book, 'accuracy', value FROM ({ACC.format(k='book', t='bg')})),
+nulls AS (SELECT perm_id, book, 'conditional_entropy' AS metric, value FROM ({CE.format(k='perm_id, book', t='pbg')}) UNION ALL SELECT perm_id, book, 'entropy_reduction', own - value FROM ({CE.format(k='perm_id, book', t='pbg')}) JOIN own USING (book) UNION ALL SELECT perm_id, book, 'accuracy', value FROM ({ACC.format(k='perm_id, book', t='pbg')})) """ + summary_sql("book metric"),
 )
 register("cyclic_null_streams", on_events(lambda s: N.cyclic(s, "sym", 2, 3).select("perm_id", "book", "pos", "sym")),
     EV + """, num AS (SELECT *, count(*) OVER (PARTITION BY book) AS n FROM ev), pm AS (SELECT unnest(range(2)) AS perm_id),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..plans import nulls as N
 
 
 LEVELS = ("verse", "major", "minor")
@@ -106,3 +107,47 @@ def lexical_classes(rows: DataFrame, different: DataFrame, least: int = 1) -> Da
     two = two.withColumn("same", same.cast("long"))
     kind = F.when(F.col("value") < least, "inactive").when((F.col("same") >= least) & (F.col("other") >= least), "mixed").when(F.col("same") >= least, "exact_only").when(F.col("other") >= least, "different_word_only")
     return two.groupBy(kind.otherwise("combined_only_at_threshold").alias("kind")).agg(F.count("*").alias("positions"), F.sum("value").alias("links"), F.sum("same").alias("exact_links"), F.sum("other").alias("different_links"))
+
+
+def enrichment_null(stream: DataFrame, window: int, permutations: int, seed: int = 1) -> DataFrame:
+    """Mean arrivals and active rate of each book against its stressed words in shuffled order (population SD)."""
+
+    def means(rows, keys):
+        got = rows.groupBy(*keys).agg(F.avg("value").alias("mean_arrivals"), F.avg((F.col("value") > 0).cast("double")).alias("active_rate"))
+        return got.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mean_arrivals", "active_rate")))).alias("m")).select(*keys, "m.*")
+
+    words = stream.select("book", "i", F.struct("pk", "bk", "exact", "extended").alias("word"))
+    seen = means(arrivals(words.select("book", "i", "word.*"), window), ["book"]).withColumnRenamed("value", "observed")
+    dealt = N.shuffled(words, "word", permutations, seed, ("book",), "i").select(F.struct("perm_id", "book").alias("book"), "i", "word.*")
+    null = means(arrivals(dealt, window), ["book"]).select("book.perm_id", "book.book", "metric", "value")
+    return S.null_summary(null, seen, ["book", "metric"], sd="population")
+
+
+def coverage(rows: DataFrame, level: str = "verse") -> DataFrame:
+    """For each book active positions, burst ends, and the share of its segments that hold an active position."""
+    on, segment = F.col("value") > 0, F.col(f"{level}_id")
+    ends = on & ~F.coalesce(F.lead(on).over(_by()), F.lit(False))
+    got = rows.withColumn("_ends", ends).groupBy("book").agg(
+        F.count("*").alias("positions"), F.count_if(on).alias("active"), F.count_if("_ends").alias("burst_ends"), F.countDistinct(segment).alias(f"{level}s"), F.countDistinct(F.when(on, segment)).alias(f"active_{level}s")
+    )
+    return got.select("book", "positions", "active", S.rounded(S.ratio("active", "positions")).alias("active_rate"), "burst_ends", f"{level}s", f"active_{level}s", S.rounded(S.ratio(f"active_{level}s", f"{level}s")).alias(f"{level}_coverage"))
+
+
+def block_alignment(rows: DataFrame, size: int) -> DataFrame:
+    """For each fixed block of a book its burst ends and the shares of them that end a segment; 0 where a block has none."""
+    on = F.col("value") > 0
+    first = F.min("i").over(Window.partitionBy("book"))
+    ends = on & ~F.coalesce(F.lead(on).over(_by()), F.lit(False))
+    b = rows.withColumn("block", F.floor((F.col("i") - first) / size) + 1).withColumn("_ends", ends)
+    hit = lambda x: F.count_if(F.col("_ends") & (F.col(f"{x}_id") != F.col(f"{x}_after")))
+    got = b.groupBy("book", "block").agg(F.count_if("_ends").alias("burst_ends"), *(hit(x).alias(x) for x in ("verse", "major", "minor")))
+    return got.select("book", "block", "burst_ends", *(S.rounded(F.coalesce(S.ratio(x, "burst_ends"), F.lit(0.0))).alias(f"{x}_rate") for x in ("verse", "major", "minor")))
+
+
+def block_left_out(blocks: DataFrame) -> DataFrame:
+    """For each block the burst ends of the book's other blocks and the shares of them that end a segment."""
+    book = Window.partitionBy("book")
+    others = F.sum("burst_ends").over(book) - F.col("burst_ends")
+    hits = lambda x: F.round(F.col(f"{x}_rate") * F.col("burst_ends"))
+    rate = lambda x: S.rounded(F.coalesce(S.ratio(F.sum(hits(x)).over(book) - hits(x), others), F.lit(0.0)))
+    return blocks.select("book", "block", others.alias("burst_ends"), *(rate(x).alias(f"{x}_rate") for x in ("verse", "major", "minor")))

@@ -111,11 +111,21 @@ def _perms(stream: DataFrame, permutations: int, seed: int) -> DataFrame:
 
 def transition_null(stream: DataFrame, least: int, permutations: int, seed: int = 1) -> DataFrame:
     """Counts of transitions with at least ``least`` cases against shuffled streams."""
-    seen = transition_counts(stream).where(F.col("n") >= least).select("book", "a", "b", F.col("n").alias("observed"))
+    return _counted_null(stream, transition_counts(stream).where(F.col("n") >= least), permutations, seed, counts=True)
+
+
+def top_transition_null(stream: DataFrame, most: int, permutations: int, seed: int = 1) -> DataFrame:
+    """Counts of each book's ``most`` commonest transitions (ties: first seen) against shuffled streams."""
+    top = S.ranked(transition_counts(stream), ["book"], F.desc("n"), F.col("first_pos")).where(F.col("rank") <= most)
+    return _counted_null(stream, top, permutations, seed, counts=False)
+
+
+def _counted_null(stream: DataFrame, kept: DataFrame, permutations: int, seed: int, counts: bool) -> DataFrame:
+    seen = kept.select("book", "a", "b", F.col("n").alias("observed"))
     drawn = bigrams(_perms(stream, permutations, seed), ("perm_id", "book")).groupBy("perm_id", "book", "a", "b").agg(F.count("*").alias("value"))
     grid = N.repeated(seen.select("book", "a", "b"), permutations)
     null = grid.join(drawn, ["perm_id", "book", "a", "b"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    return S.null_summary(null, seen, ["book", "a", "b"], counts=True)
+    return S.null_summary(null, seen, ["book", "a", "b"], counts=counts)
 
 
 def entropy_null(stream: DataFrame, k: int, permutations: int, seed: int = 1) -> DataFrame:

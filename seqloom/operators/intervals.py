@@ -63,3 +63,23 @@ def contrast_null(rows: DataFrame, permutations: int, seed: int = 1, kind: str =
 
     seen = difference(rows, []).withColumnRenamed("value", "observed")
     return S.null_summary(difference(dealt, ["perm_id"]), seen, ["book", "model", "metric"])
+
+
+def interval_null(rows: DataFrame, permutations: int, seed: int = 1, kind: str = "shuffle") -> DataFrame:
+    """Share of the three commonest intervals and normalised entropy of each book, model and relation against dealt intervals."""
+    deal = N.shuffled if kind == "shuffle" else N.cyclic
+    labels = rows.select("book", "model", "i", "relation")
+    dealt = deal(rows, "interval", permutations, seed, ("book", "model"), "i").join(labels, ["book", "model", "i"])
+    keys = ["book", "model", "relation"]
+    both = lambda df, by: top3(df, by).withColumn("metric", F.lit("top3_share")).unionByName(_normal_entropy(df, by).withColumn("metric", F.lit("entropy_norm")))
+    return S.null_summary(both(dealt, ["perm_id", *keys]), both(rows, keys).withColumnRenamed("value", "observed"), [*keys, "metric"])
+
+
+def ngrams(rows: DataFrame, k: int, most: int) -> DataFrame:
+    """Commonest runs of ``k`` intervals of each book, model and relation, with their share; ties go to the run seen first."""
+    keys = ["book", "model", "relation"]
+    by = Window.partitionBy(*keys).orderBy("i")
+    grams = rows.select(*keys, "i", *(F.lead("interval", j).over(by).alias(f"g{j}") for j in range(k))).where(F.col(f"g{k - 1}").isNotNull())
+    n = grams.groupBy(*keys, F.concat_ws("-", *(F.col(f"g{j}").cast("string") for j in range(k))).alias("pattern")).agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    n = n.withColumn("share", S.rounded(S.ratio("n", F.sum("n").over(Window.partitionBy(*keys)))))
+    return S.ranked(n, keys, F.desc("n"), F.col("first")).where(F.col("rank") <= most).drop("first")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,15 @@ def split_accuracy(stream: DataFrame, share: float = 0.8, kind: str = "chronolog
 
 
 def transition_test(stream: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
-    """Conditional entropy and in-sample accuracy against shuffled streams."""
-    measures = lambda pairs, keys: conditional_entropy(pairs, keys).withColumn("metric", F.lit("conditional_entropy")).unionByName(accuracy(pairs, keys).withColumn("metric", F.lit("accuracy")))
+    """Conditional entropy, its reduction of the symbols' own entropy, and in-sample accuracy against shuffled streams."""
+    own = S.entropy(stream.groupBy("book", "sym").agg(F.count("*").alias("n")), ["book"]).select("book", F.col("entropy").alias("own"))
+
+    def measures(pairs, keys):
+        left = conditional_entropy(pairs, keys)
+        less = left.join(own, "book").select(*keys, (F.col("own") - F.col("value")).alias("value"))
+        parts = {"conditional_entropy": left, "entropy_reduction": less, "accuracy": accuracy(pairs, keys)}
+        return functools.reduce(DataFrame.unionByName, (x.withColumn("metric", F.lit(m)) for m, x in parts.items()))
+
     seen = measures(G.bigrams(stream), ["book"]).withColumnRenamed("value", "observed")
     null = measures(G.bigrams(N.shuffled(stream, "sym", permutations, seed), ("perm_id", "book")), ["perm_id", "book"])
     return S.null_summary(null, seen, ["book", "metric"])
