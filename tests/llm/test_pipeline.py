@@ -57,8 +57,8 @@ def test_run(spark, tmp_path, monkeypatch):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     stages, kept = {}, corpus_pipeline.common.kept
 
-    def seen(df, name):
-        out = kept(df, name)
+    def seen(df, name, **options):
+        out = kept(df, name, **options)
         if name.startswith("stage-"):
             stages[name] = out
         return out
