@@ -19,7 +19,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: st
 
 
 def _loaded() -> None:
-    from . import catalog_events, catalog_nulls, catalog_pointed, catalog_words  # noqa: F401
+    from . import catalog_events, catalog_nulls, catalog_pointed, catalog_robust, catalog_words  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -84,10 +84,13 @@ def boundary_metrics(rows: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataF
 
 
 def edge_censored(rows: DataFrame) -> DataFrame:
-    """Values of a run that touches the stream's first or last position become 0."""
-    bounds = rows.groupBy("book").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    cut = runs(rows).join(bounds, "book").where((F.col("start") == F.col("lo")) | (F.col("end") == F.col("hi"))).select("book", F.explode(F.sequence("start", "end")).alias("i"), F.lit(True).alias("edge"))
-    return rows.join(cut, ["book", "i"], "left").withColumn("value", F.when(F.col("edge"), F.lit(0)).otherwise(F.col("value"))).drop("edge")
+    """Values of a run that touches the stream's first or last position become 0; one pass over each book, no join."""
+    on, whole = F.col("value") > 0, Window.partitionBy("book").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    begins = on & ~F.coalesce(F.lag(on).over(_by()), F.lit(False))
+    runs_of = rows.withColumns({"_run": F.sum(begins.cast("long")).over(_by()), "_first": F.first(on).over(whole), "_last": F.last(on).over(whole)})
+    runs_of = runs_of.withColumn("_runs", F.max("_run").over(whole))
+    edge = on & ((F.col("_first") & (F.col("_run") == 1)) | (F.col("_last") & (F.col("_run") == F.col("_runs"))))
+    return runs_of.withColumn("value", F.when(edge, F.lit(0)).otherwise(F.col("value"))).drop("_run", "_first", "_last", "_runs")
 
 
 def blocks(rows: DataFrame, size: int, least: float = 0.5) -> DataFrame:

@@ -34,14 +34,21 @@ def within_segment_null(pos: DataFrame, bins: int, permutations: int, seed: int
     return S.null_summary(null, seen, ["metric"], sd="population")
 
 
-def allocation_null(rows: DataFrame, level: str, permutations: int, seed: int = 1) -> DataFrame:
-    """Share of a book's segments with an active position, against as many positions dealt over the book at random."""
+def allocation_draws(rows: DataFrame, level: str, permutations: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Share of a book's segments with an active position: (perm_id, book, value, segments) with as many positions dealt over the
+    book at random, and (book, observed, segments)."""
     segment = F.col(f"{level}_id")
     base = rows.select("book", "i", segment.alias("segment"), (F.col("value") > 0).alias("on"))
-    size = base.groupBy("book").agg(F.countDistinct("segment").alias("segments"), F.count_if("on").alias("active"))
-    share = lambda df, keys: df.groupBy(*keys).agg(F.countDistinct("segment").alias("hit"))
-    seen = size.join(share(base.where("on"), ["book"]), "book", "left").select("book", (F.coalesce("hit", F.lit(0)).cast("double") / F.col("segments")).alias("observed"))
+    size = base.groupBy("book").agg(F.countDistinct("segment").alias("segments"), F.count_if("on").alias("active"), F.countDistinct(F.when(F.col("on"), F.col("segment"))).alias("hit"))
+    seen = size.select("book", (F.col("hit").cast("double") / F.col("segments")).alias("observed"), "segments")
     many = N.repeated(base.join(size, "book"), permutations)
     rank = F.row_number().over(Window.partitionBy("perm_id", "book").orderBy(N.draw_key(seed, "perm_id", "book", "i"), "i"))
-    dealt = many.withColumn("_rank", rank).groupBy("perm_id", "book").agg((F.countDistinct(F.when(F.col("_rank") <= F.col("active"), F.col("segment"))).cast("double") / F.max("segments")).alias("value"))
-    return S.null_summary(dealt, seen, ["book"])
+    hit = F.countDistinct(F.when(F.col("_rank") <= F.col("active"), F.col("segment"))).cast("double")
+    dealt = many.withColumn("_rank", rank).groupBy("perm_id", "book").agg((hit / F.max("segments")).alias("value"), F.max("segments").alias("segments"))
+    return dealt, seen
+
+
+def allocation_null(rows: DataFrame, level: str, permutations: int, seed: int = 1) -> DataFrame:
+    """Each book's share of segments with an active position against the same share of positions dealt anew."""
+    dealt, seen = allocation_draws(rows, level, permutations, seed)
+    return S.null_summary(dealt.drop("segments"), seen.drop("segments"), ["book"])
