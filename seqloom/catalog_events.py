@@ -31,7 +31,7 @@ def summary_sql(keys: str, counts: bool = False, null: str = "nulls", seen: str
     """SELECT over (keys, perm_id, value) and (keys, observed), as functions.stats.null_summary."""
     gate = "null_sd >= 0.5 AND unique_values >= 3" if counts else "null_sd > 1e-12"
     ks = ", ".join(keys.split())
-    return f"""SELECT {ks}, round(CAST(observed AS DOUBLE), 8) AS observed, permutations, round(null_mean, 8) + 0.0 AS null_mean, round(null_sd, 6) AS null_sd,
+    return f"""SELECT {ks}, round(CAST(observed AS DOUBLE), 8) + 0.0 AS observed, permutations, round(null_mean, 8) + 0.0 AS null_mean, round(null_sd, 6) AS null_sd,
   round(CASE WHEN {gate} THEN (observed - null_mean) / null_sd ELSE {z} END, 6) + 0.0 AS z, round((at_least + 1.0) / (permutations + 1), 8) AS p_upper, round((at_most + 1.0) / (permutations + 1), 8) AS p_lower,
   round(least(1.0, 2 * least((at_least + 1.0) / (permutations + 1), (at_most + 1.0) / (permutations + 1))), 8) AS p_two_sided,
   round((as_far + 1.0) / (permutations + 1), 8) AS p_distance

@@ -53,7 +53,7 @@ def null_summary(null: DataFrame, observed: DataFrame, keys: list[str], sd: str
     if undefined_z is not None:
         z = F.coalesce(z, F.lit(undefined_z))
     return got.select(
-        *keys, rounded("observed").alias("observed"), "permutations", (rounded("null_mean") + 0.0).alias("null_mean"), rounded("null_sd", 6).alias("null_sd"),
+        *keys, (rounded("observed") + 0.0).alias("observed"), "permutations", (rounded("null_mean") + 0.0).alias("null_mean"), rounded("null_sd", 6).alias("null_sd"),
         (rounded(z, 6) + 0.0).alias("z"), rounded(upper).alias("p_upper"), rounded(lower).alias("p_lower"), rounded(F.least(F.lit(1.0), 2 * F.least(upper, lower))).alias("p_two_sided"),
         rounded((F.col("as_far") + 1) / (F.col("finite") + 1)).alias("p_distance"),
     )
