@@ -10,7 +10,8 @@ Shingles that many sets hold would link strangers, so blocks are made of the oth
 similar to a poor one; strangers meet there only if one of them is poor.
 
 Within the documents that share a block every one is compared with a first one (a star). Where a star leaves several
-components, members of different components are compared too.
+components, members of different components are compared too. Unequal bits of two parity sketches bound the difference of their
+sets from below: a short sketch, then a wide one that grows with the set, turn pairs away before their texts are moved.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .filters import BitFilter
 from .graphs import components
 
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
-#: Bits of the sketch that is compared before the texts are, in 64-bit words.
+#: Bits of the short sketch that is compared first, in 64-bit words.
 SKETCH_WORDS = 8
 #: Kinds of rows, added to the number of the set's shingles that are not frequent: poor sets 0, guests among them, space 0.
 GUEST, OPEN = 1 << 40, 1 << 41
@@ -103,9 +104,23 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((tokens & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _sketch(tokens: np.ndarray, bits: int = 64 * SKETCH_WORDS) -> np.ndarray:
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _wide(tokens: np.ndarray) -> bytes | None:
+    """A sketch with a bit for each shingle at least, where the short one has fewer; its length is a power of two."""
+    bits = 1 << max(0, len(tokens) - 1).bit_length()
+    return _sketch(tokens, bits).tobytes() if bits > 64 * SKETCH_WORDS else None
+
+
+def _apart(p: bytes, q: bytes) -> int:
+    """In how many bits two wide sketches differ, the longer one folded to the length of the other: never more than the sets do."""
+    p, q = sorted((np.frombuffer(x, np.uint64) for x in (p, q)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _describe(batches):
@@ -113,11 +128,11 @@ def _describe(batches):
         ids, rows = part.column(0), []
         for count, s in shingle_sets(part.column(1)):
             total = int(s.sum(dtype=np.uint64)) if len(s) else 0
-            rows.append((count, len(s), total, int(np.bitwise_xor.reduce(C.mixed(s))) if len(s) else 0, _sketch(s)))
-        count, n, one, two, sketch = zip(*rows)
+            rows.append((count, len(s), total, int(np.bitwise_xor.reduce(C.mixed(s))) if len(s) else 0, _sketch(s), _wide(s)))
+        count, n, one, two, sketch, wide = zip(*rows)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(count, pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), *(pa.array(x) for x in np.stack(sketch, axis=1).copy())],
-            names=["doc_id", "n_words", "n_shingles", "one", "two", *(f"s{i}" for i in range(SKETCH_WORDS))],
+            [ids, pa.array(count, pa.int64()), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), *(pa.array(x) for x in np.stack(sketch, axis=1).copy()), pa.array(wide, pa.binary())],
+            names=["doc_id", "n_words", "n_shingles", "one", "two", *(f"s{i}" for i in range(SKETCH_WORDS)), "wide"],
         )
     C.trim()
 
@@ -213,6 +228,15 @@ def _stars(batches):
     C.trim()
 
 
+def _near_enough(batches):
+    """The (a, b) of those rows (a, b, n_a, wide_a, n_b, wide_b) whose wide sketches allow the similarity, or lack."""
+    t, u = SIMILARITY.numerator, SIMILARITY.denominator
+    for batch in batches:
+        rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+        keep = pa.array([p is None or q is None or _apart(p, q) * (t + u) <= (m + n) * (u - t) for m, p, n, q in rows], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
 def _similar(batches):
     """The (a, b) of those rows (a, b, text_a, text_b) whose texts' sets are similar."""
     t, u = SIMILARITY.numerator, SIMILARITY.denominator
@@ -259,17 +283,30 @@ def _sketched(pairs: DataFrame, lead: DataFrame) -> DataFrame:
     return both.where(_sizes() & _sketches()).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets are similar. Texts that no pair needs stay where they are."""
-    pairs = C.kept(pairs, "pairs")
+def _needed(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, ...) that ``pairs`` (a, b) need, and a few more; the others stay where they are."""
     need = BitFilter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), FILTER_BITS)
 
     def wanted(batches):
         for b in batches:
-            got = need.hit_rows(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(got), b.column(1).filter(got)], names=["node", "text"])
+            got = need.hit_rows(b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([c.filter(got) for c in b.columns[:-1]], names=b.schema.names[:-1])
+
+    return rows.where("doc_id is not null").withColumn("slot", need.slot("doc_id")).mapInArrow(wanted, rows.schema)
+
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", need.slot("doc_id")).mapInArrow(wanted, "node long, text string")
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets are similar.
+
+    The short sketch tells nothing of sets with many more shingles than it has bits. Wide sketches turn those strangers away, so
+    that only the texts of likely pairs are moved.
+    """
+    pairs = C.kept(pairs, "pairs")
+    wide = _needed(sets.select("doc_id", "n_shingles", "wide"), pairs)
+    x, y = (wide.toDF(k, f"n_{k}", f"wide_{k}") for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
+    pairs = C.kept(both.mapInArrow(_near_enough, "a long, b long").distinct(), "near")
+    texts = _needed(docs, pairs)
     x, y = (texts.toDF(k, f"text_{k}") for k in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_similar, "a long, b long").distinct()
@@ -285,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fields = "doc_id long, n_words long, n_shingles long, one long, two long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS))
+    fields = "doc_id long, n_words long, n_shingles long, one long, two long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", wide binary"
     sets = C.kept(docs.mapInArrow(_describe, fields), "sets")
     same = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("first"))
     members = C.kept(sets.join(same, ["n_shingles", "one", "two"], "left").select("doc_id", "n_words", "n_shingles", "first", *(f"s{i}" for i in range(SKETCH_WORDS))), "members")
@@ -299,7 +336,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stars.where("doc <> leader").select("doc", "leader").distinct()
     pairs = pairs.join(first_of.toDF("doc", "x"), "doc").join(first_of.toDF("leader", "y"), "leader").where("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = C.kept(_verified(_sketched(pairs, lead), docs), "links")
+    links = C.kept(_verified(_sketched(pairs, lead), sets, docs), "links")
     root = C.kept(components(links), "roots")
 
     # What the stars leave: blocks whose documents are still in several components.
@@ -310,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = C.kept(rows.join(open_keys, "key", "left_semi").join(lead, "first"), "open")
     x, y = _near(rows, "x").withColumnRenamed("key_x", "key"), _near(rows, "y").withColumnRenamed("key_y", "key")
     rest = x.join(y, "key").where((F.col("first_x") < F.col("first_y")) & (F.col("root_x") != F.col("root_y")) & _ranks() & _sizes() & _sketches())
-    more = _verified(rest.select(F.col("first_x").alias("a"), F.col("first_y").alias("b")).distinct(), docs)
+    more = _verified(rest.select(F.col("first_x").alias("a"), F.col("first_y").alias("b")).distinct(), sets, docs)
     root = components(C.kept(links.unionByName(more), "links"))
 
     return members.join(root.toDF("first", "root"), "first", "left").select("doc_id", "n_words", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first", "doc_id")).alias("component_id"))

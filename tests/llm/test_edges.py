@@ -2,6 +2,7 @@
 
 import types
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,38 @@ def test_ngram_join(docs, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_ngram_join_long_strangers(spark, monkeypatch):
+    """Long texts that share three quarters of their words are told apart before their texts are moved; a copy is found."""
+    common_part = [f"c{j}" for j in range(1500)]
+    texts = {i: common_part + [f"d{i}x{j}" for j in range(500)] for i in range(40)}
+    texts[40] = texts[7][:-100] + [f"y{j}" for j in range(60)]
+    some = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4).cache()
+    read, similar = spark.sparkContext.accumulator(0), ngram_join._similar
+
+    def counted(batches):
+        def seen():
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        yield from similar(seen())
+
+    monkeypatch.setattr(ngram_join, "_similar", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(some).collect()}
+    assert got == {i: 7 if i == 40 else i for i in texts}
+    assert 0 < read.value <= 10
+
+
+def test_wide_sketches():
+    """Wide sketches of any two lengths differ in no more bits than the sets do."""
+    rng = np.random.default_rng(5)
+    for m, n, both in [(600, 600, 600), (513, 4000, 500), (1000, 1030, 950), (1024, 1025, 0), (70000, 60000, 59000)]:
+        tokens = rng.integers(0, 1 << 63, m + n - both, dtype=np.uint64)
+        p, q = ngram_join._wide(tokens[:m]), ngram_join._wide(tokens[m - both :])
+        assert 8 * len(p) >= m and ngram_join._apart(p, q) == ngram_join._apart(q, p) <= m + n - 2 * both
+    assert ngram_join._wide(tokens[:512]) is None and ngram_join._wide(tokens[:0]) is None
+
+
 def test_substring_dedup(docs, none, spark):
     got = by_id(substring_dedup.remove_repeats(docs))
     assert got[6]["n_removed"] == 0 and got[6]["n_words"] == 3000 and got[2]["kept"] == "" and got[4]["n_words"] == 0
