@@ -22,24 +22,31 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, PIECE, GROUP = 1024, 128, 192
-#: Characters, and 40 for each word, after which a worker forgets the words that it has encoded.
+#: Characters, and 40 for each word, that a worker remembers at most of the words that it has encoded; about 4 bytes for each.
 MEMO = 40_000_000
+#: Text bytes that a worker encodes in one step.
+STEP = C.CHUNK_BYTES // 4
 END = b"\0\0\0\0"
 #: White space that a cut before a single space would part: such texts are encoded whole.
 _BOUND = re.compile(r"\s (?:\s|\Z)")
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes; each word with the space before it is encoded once and remembered."""
+    """Token ids as little-endian 32-bit bytes; each word with the space before it is encoded and remembered.
 
-    def __init__(self, path: str):
+    Words are remembered in two halves, ``memo`` and ``old``. Once ``memo`` is full it becomes ``old``; words that come again move
+    back, the others are forgotten when ``memo`` is full again.
+    """
+
+    def __init__(self, path: str, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
-        self.held = 0
+        self.old: dict[str, bytes] = {}
+        self.held, self.most = 0, most
 
         width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():  # each character of a token stands for a byte
@@ -65,25 +72,26 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. A word's key in the memo lacks the space before it; what starts a text is encoded by itself."""
-        if self.held > MEMO:
-            self.memo.clear()
-            self.held = 0
+        if self.held > self.most // 2:
+            self.old, self.memo, self.held = self.memo, {}, 0
         parts = [[text] if _BOUND.search(text) else text.split(" ") for text in texts]
         first = list(dict.fromkeys(units[0] for units in parts))
         first = dict(zip(first, self._single(first)))
         todo = set().union(*(units[1:] for units in parts)).difference(self.memo)
         self.held += sum(map(len, todo)) + 40 * len(todo)
-        self._learn(sorted(todo))
+        again = list(filter(self.old.__contains__, todo))
+        self.memo.update(zip(again, map(self.old.pop, again)))
+        self._learn(sorted(todo.difference(again)))
         find = self.memo.__getitem__
         return [first[units[0]] + b"".join(map(find, units[1:])) for units in parts]
 
 
-def encoder(path: str, held: dict = {}) -> Encoder:  # noqa: B006
+def encoder(path: str, most: int = MEMO, held: dict = {}) -> Encoder:  # noqa: B006
     """The worker's encoder for a file: later tasks go on with what earlier ones have remembered."""
-    if path not in held:
+    if (path, most) not in held:
         held.clear()
-        held[path] = Encoder(path)
-    return held[path]
+        held[path, most] = Encoder(path, most)
+    return held[path, most]
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -125,9 +133,9 @@ def deal(sizes: list[int], length: int) -> list[list[int]]:
 FIELDS = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _pack(path: str, length: int):
+def _pack(path: str, length: int, memo: int = MEMO):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        words, rows, held = encoder(path), [], []
+        words, rows, held = encoder(path, memo), [], []
         sequence = TaskContext.get().partitionId() << 40
 
         def flush():
@@ -151,7 +159,7 @@ def _pack(path: str, length: int):
             rows.clear()
             return batch
 
-        for part in C.chunks(batches):
+        for part in C.chunks(batches, limit=STEP):
             for doc, ids in zip(part.column(0).to_pylist(), words.encode([x or "" for x in part.column(1).to_pylist()])):
                 ids += END
                 total = len(ids) // 4
@@ -169,22 +177,24 @@ def _pack(path: str, length: int):
             flush()
         if rows:
             yield out()
+        C.trim()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, memo: int = MEMO) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (32-bit little-endian).
 
     A document is its token ids and one id 0, so a null or empty text is that id alone; a null doc_id is kept. Each row is a
     document of its own, also where rows repeat. Only doc_id and text are read, so other columns may have any names. An empty
     table gives an empty result. ``tokenizer`` is the path of a tokenizers file, by default the public byte_bpe_50k.json.
+    ``memo`` bounds what a worker remembers, as MEMO does: less takes more time, the result is the same.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(str(tokenizer), length), FIELDS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(str(tokenizer), length, memo), FIELDS)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

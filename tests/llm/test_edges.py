@@ -1,5 +1,6 @@
 """Nulls, blanks, repeats, clashing columns and empty tables in every operator and pipeline stage."""
 
+import sys
 import types
 
 import numpy as np
@@ -138,6 +139,22 @@ def test_packing(docs, none):
     assert max(at.values()) <= 1024 and packing.pack(none).count() == 0
 
 
+def test_packing_memory():
+    """A worker's words stay within a bound, those of every batch are encoded once alone, and ids are the tokenizer's own."""
+    import public_tokenizers
+
+    words, learnt = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=4_000_000), []
+    learn, often, most = words._learn, "often met anew", 0
+    words._learn = lambda todo: (learnt.extend(x for x in todo if x == "met"), learn(todo))
+    for k in range(16):
+        texts = [f"{often} " + " ".join(f"w{k:x}q{j:x}" for j in range(i, i + 500)) for i in range(0, 10_000, 500)]
+        got = words.encode(texts)
+        assert got[-1] == words._single(texts[-1:])[0]
+        halves = (words.memo, words.old)
+        most = max(most, sum(sys.getsizeof(h) + sum(map(sys.getsizeof, h)) + sum(map(sys.getsizeof, h.values())) for h in halves))
+    assert most < 20_000_000 and learnt == ["met"]
+
+
 def test_media(docs, none):
     rows = by_id(media.features(media.stored(docs)))
     assert len(rows[3]["payload"]) == 192 and rows[2]["feature"] == rows[3]["feature"] and rows[6]["payload"].decode().rstrip(" ") == LONG
