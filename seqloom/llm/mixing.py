@@ -121,10 +121,10 @@ class Mix:
         counts = shard_counts(slots) if sum(slots) else np.zeros((0, len(slots)), np.int64)
         first = np.cumsum(counts, axis=0) - counts
         plan = [(s, k, int(first[k, s]), int(counts[k, s])) for k in range(len(counts)) for s in range(len(slots)) if counts[k, s]]
-        plan = spark.createDataFrame(plan, "src long, shard long, first long, count long").repartition(C.partitions(spark))
+        plan = C.small(spark, plan, "src long, shard long, first long, count long").repartition(C.partitions(spark))
         self.slots = plan.mapInArrow(_slots(self.blocks), "src long, block long, shard long, slot long")
 
-        known = spark.createDataFrame([(x, i, sizes[i], self.targets[i]) for i, x in enumerate(names)], "name string, src long, source_size long, target double")
+        known = C.small(spark, [(x, i, sizes[i], self.targets[i]) for i, x in enumerate(names)], "name string, src long, source_size long, target double")
         before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
         within = Window.partitionBy("name", "bucket").orderBy(place, "doc_id", "size", "one", "two")

@@ -149,25 +149,30 @@ def _fresh_sets(batches):
 
 
 def _repeated(batches):
-    """(token, n): shingles that several sets of a block hold."""
-    held, size = [], 0
+    """(token, n): shingles that several sets of a block hold.
 
-    def count():
-        tokens = np.concatenate(held)
-        held.clear()
+    A block fills one array, is sorted there, and only runs of equal shingles are copied out of it. A set that reaches beyond a
+    block goes on in the next one.
+    """
+    held, size = np.empty(TOKENS, np.uint64), 0
+
+    def count(tokens):
         tokens.sort()
-        start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        token, n = tokens[start], np.diff(np.append(start, len(tokens)))
-        return pa.RecordBatch.from_arrays([pa.array(_signed(token[n > 1])), pa.array(n[n > 1])], names=["token", "n"])
+        edge = np.diff((tokens[1:] == tokens[:-1]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        return pa.RecordBatch.from_arrays([pa.array(_signed(tokens[start])), pa.array(end - start + 1)], names=["token", "n"])
 
     for _, s in _fresh_sets(batches):
-        held.append(s)
-        size += len(s)
-        if size > TOKENS:
-            yield count()
-            size = 0
-    if held:
-        yield count()
+        while len(s):
+            part = s[: TOKENS - size]
+            held[size : size + len(part)] = part
+            size, s = size + len(part), s[len(part) :]
+            if size == TOKENS:
+                yield count(held)
+                size = 0
+    if size:
+        yield count(held[:size])
+    del held
     C.trim()
 
 

@@ -86,12 +86,9 @@ class Encoder:
         return [first[units[0]] + b"".join(map(find, units[1:])) for units in parts]
 
 
-def encoder(path: str, most: int = MEMO, held: dict = {}) -> Encoder:  # noqa: B006
-    """The worker's encoder for a file: later tasks go on with what earlier ones have remembered."""
-    if (path, most) not in held:
-        held.clear()
-        held[path, most] = Encoder(path, most)
-    return held[path, most]
+def encoder(path: str, most: int = MEMO) -> Encoder:
+    """The worker's encoder for a file: later tasks go on with what earlier ones have remembered, until another operator's begin."""
+    return C.remembered((path, most), lambda: Encoder(path, most))
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -159,7 +156,7 @@ def _pack(path: str, length: int, memo: int = MEMO):
             rows.clear()
             return batch
 
-        for part in C.chunks(batches, limit=STEP):
+        for part in C.chunks(batches, limit=STEP, remember=True):
             for doc, ids in zip(part.column(0).to_pylist(), words.encode([x or "" for x in part.column(1).to_pylist()])):
                 ids += END
                 total = len(ids) // 4

@@ -1,9 +1,14 @@
 """Nulls, blanks, repeats, clashing columns and empty tables in every operator and pipeline stage."""
 
+import gc
 import sys
+import tracemalloc
 import types
+import weakref
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +160,38 @@ def test_packing_memory():
     assert most < 20_000_000 and learnt == ["met"]
 
 
+def test_packing_forgotten():
+    """A worker that turns to another operator gives up what packing has left in it; packing's own tasks go on with it."""
+    import public_tokenizers
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"]})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    left = weakref.ref(packing.encoder(path))
+    assert list(common.chunks([batch], remember=True)) and packing.encoder(path) is left()
+    for other in (ngram_join._describe, ngram_join._repeated, quality._with_features):
+        left = weakref.ref(packing.encoder(path))
+        list(other([batch]))
+        gc.collect()
+        assert left() is None, other
+
+
+def test_repeated_shingles(monkeypatch):
+    """Repeated shingles are counted in little more than a block, also those of a set that is longer than a block."""
+    monkeypatch.setattr(ngram_join, "_fresh_sets", lambda sets: ((i, s) for i, s in enumerate(sets)))
+    monkeypatch.setattr(ngram_join, "TOKENS", 1 << 18)
+    few = [np.arange(10, dtype=np.uint64) * (k + 1) for k in range(4)] + [np.array([1 << 63, (1 << 64) - 1], np.uint64)] * 3
+    got = [dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for b in ngram_join._repeated(few)]
+    want = Counter(x for s in few for x in s.view(np.int64).tolist())
+    assert got == [{k: n for k, n in want.items() if n > 1}]
+
+    twice, long = np.arange(1 << 16, dtype=np.uint64), np.arange(3 << 18, dtype=np.uint64)
+    tracemalloc.start()
+    rows = [b.num_rows for b in ngram_join._repeated(iter([twice, long, twice]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [1 << 16, 0, 0, 0] and peak < 20 * (1 << 18), peak
+
+
 def test_media(docs, none):
     rows = by_id(media.features(media.stored(docs)))
     assert len(rows[3]["payload"]) == 192 and rows[2]["feature"] == rows[3]["feature"] and rows[6]["payload"].decode().rstrip(" ") == LONG
@@ -233,6 +270,14 @@ def test_line_dedup_order(spark, monkeypatch):
     assert got[0] == got[1] == got[2] and 0 < sum(r[3] for r in got[0]) < sum(r[2] for r in got[0])
 
 
+def test_mixing_plan(spark, docs):
+    """The plan of a mix reaches the executors without Python workers of a second kind."""
+    assert "PythonRDD" not in mixing.Mix(docs).slots._jdf.queryExecution().toRdd().toDebugString()
+    some = common.small(spark, [("a", 1, 0.5), ("b\U0001f600", None, 2.0)], "name string, n long, x double")
+    assert [tuple(r) for r in some.collect()] == [("a", 1, 0.5), ("b\U0001f600", None, 2.0)]
+    assert common.small(spark, [], "n long").count() == 0
+
+
 def test_shared_folder():
     """Without a shared folder a session on a cluster gets an error, never a folder of the driver's own."""
     context = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x:7077")
