@@ -12,6 +12,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .merges import BLOCK, LONGEST, Merges
 
 LENGTH, PIECE, GROUP = 1024, 128, 192
 #: Characters, and 40 for each word, that a worker remembers at most of the words that it has encoded; about 4 bytes for each.
@@ -27,8 +29,8 @@ MEMO = 40_000_000
 #: Text bytes that a worker encodes in one step.
 STEP = C.CHUNK_BYTES // 4
 END = b"\0\0\0\0"
-#: White space that a cut before a single space would part: such texts are encoded whole.
-_BOUND = re.compile(r"\s (?:\s|\Z)")
+#: White space that a cut before a single space would part: such texts are encoded whole. The space comes first, as it is sought fastest.
+_BOUND = re.compile(r" (?<=\s )(?:\s|\Z)")
 
 
 class Encoder:
@@ -47,26 +49,17 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held, self.most = 0, most
-
-        width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():  # each character of a token stands for a byte
-            width[i] = len(token)
-        self.width = width
+        self.merges = Merges.read(path)
 
     def _single(self, units: list[str]) -> list[bytes]:
         return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words after a space. They are encoded end to end and told apart by the spaces among the bytes."""
-        plain = [x for x in words if x and not x[0].isspace() and not x[-1].isspace()]
-        blocks = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        joined = [" " + " ".join(b) for b in blocks]
-        for block, text, got in zip(blocks, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids, raw = np.array(got.ids, "<u4"), np.frombuffer(text.encode(), np.uint8)
-            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
-            cuts = [0, *(4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()]
-            packed = ids.tobytes()
-            self.memo.update(zip(block, map(packed.__getitem__, map(slice, cuts, cuts[1:]))))
+        """Remember the ids of words after a space: short plain ones from ``Merges``, the others from the tokenizer."""
+        if self.merges:
+            short = [x for x in words if len(x) <= LONGEST]
+            for i in range(0, len(short), BLOCK):
+                self.memo.update(zip(*self.merges.encode(short[i : i + BLOCK])))
         rest = [x for x in words if x not in self.memo]
         self.memo.update(zip(rest, self._single([" " + x for x in rest])))
 
@@ -75,15 +68,16 @@ class Encoder:
         if self.held > self.most // 2:
             self.old, self.memo, self.held = self.memo, {}, 0
         parts = [[text] if _BOUND.search(text) else text.split(" ") for text in texts]
-        first = list(dict.fromkeys(units[0] for units in parts))
+        heads = [units.pop(0) for units in parts]
+        first = list(dict.fromkeys(heads))
         first = dict(zip(first, self._single(first)))
-        todo = set().union(*(units[1:] for units in parts)).difference(self.memo)
+        todo = set().union(*parts).difference(self.memo)
         self.held += sum(map(len, todo)) + 40 * len(todo)
         again = list(filter(self.old.__contains__, todo))
         self.memo.update(zip(again, map(self.old.pop, again)))
         self._learn(sorted(todo.difference(again)))
         find = self.memo.__getitem__
-        return [first[units[0]] + b"".join(map(find, units[1:])) for units in parts]
+        return [first[head] + b"".join(map(find, units)) for head, units in zip(heads, parts)]
 
 
 def encoder(path: str, most: int = MEMO) -> Encoder:
@@ -92,29 +86,25 @@ def encoder(path: str, most: int = MEMO) -> Encoder:
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Indices of ``sizes`` in each of ``windows`` near-equal windows (Karmarkar-Karp)."""
-    heap, blank = [], np.zeros(windows, np.int64)
-    for i, size in enumerate(sizes):
-        sums = blank.copy()
-        sums[-1] = size
-        heap.append((-size, i, sums, {windows - 1: [i]}))
+    """Indices of ``sizes`` in each of ``windows`` near-equal windows (Karmarkar-Karp).
+
+    A partition lists its windows, smallest first, as (size above the smallest, indices); those without an index are left out.
+    """
+    heap = [(-size, i, [(size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    tick = len(sizes)
-    while len(heap) > 1:
-        _, _, a, held_a = heapq.heappop(heap)
-        _, _, b, held_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        held = dict(held_a)
-        for k, items in held_b.items():
-            k = windows - 1 - k
-            held[k] = held[k] + items if k in held else items
-        order = np.argsort(sums, kind="stable")
-        sums, place = sums[order], np.empty(windows, np.int64)
-        place[order] = np.arange(windows)
-        place = place.tolist()
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), tick, sums - sums[0], {place[k]: items for k, items in held.items()}))
-        tick += 1
-    return list(heap[0][3].values()) if heap else []
+    for tick in range(len(sizes), 2 * len(sizes) - 1):
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        if len(a) + len(b) <= windows:
+            both = b[::-1] + a
+        else:
+            a, b = ([(0, [])] * (windows - len(x)) + x for x in (a, b))
+            both = [(m + n, p + q) for (m, p), (n, q) in zip(a, reversed(b))]
+        both.sort(key=itemgetter(0))
+        if len(both) == windows and both[0][0]:
+            least = both[0][0]
+            both = [(m - least, p) for m, p in both]
+        heapq.heappush(heap, (-both[-1][0], tick, both))
+    return [p for _, p in heap[0][2]] if heap else []
 
 
 def deal(sizes: list[int], length: int) -> list[list[int]]:

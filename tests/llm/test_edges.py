@@ -160,6 +160,45 @@ def test_packing_memory():
     assert most < 20_000_000 and learnt == ["met"]
 
 
+def test_packing_plain_words():
+    """Only odd words reach the tokenizer one by one; the others are merged in arrays, to the tokenizer's own ids."""
+    import public_tokenizers
+
+    words, alone = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    tokenizer = words.tokenizer
+    words.tokenizer = types.SimpleNamespace(encode_batch_fast=lambda units, **k: (alone.extend(units), tokenizer.encode_batch_fast(units, **k))[1])
+    rng = np.random.default_rng(9)
+    letters = {"plain": list("abcdehinorstuéñßЖ0189.,!?-(&_中́"), "odd": [*map(chr, [1, 9, 11, 28, 39, 133, 160, 0x180E, 0x200B, 0x3000, 0xE000, 0x1F600])]}
+    made = {k: ["".join(rng.choice(x, n)) for n in rng.integers(1, 40, 3000)] for k, x in letters.items()}
+    made["plain"] += ["an.\nEr", "a" * 64, "=" * 63, "²½", "x\ty", "anananan"]
+    made["odd"] += ["", "it's", "a\n\nb", "a" * 65, "x" * 5000, "tail\n", "\thead", "a<|endoftext|>'b"]
+    for kind, some in made.items():
+        alone.clear()
+        some = list(dict.fromkeys(some))
+        words.memo.clear()
+        words.encode(["head " + " ".join(some[i : i + 100]) + " tail" for i in range(0, len(some), 100)])
+        assert alone == ["head"] or kind == "odd"
+        words._learn([x for x in some if x not in words.memo])
+        ids = [got.ids for got in tokenizer.encode_batch_fast([" " + x for x in some], add_special_tokens=False)]
+        assert [words.memo[x] for x in some] == [np.array(x, "<u4").tobytes() for x in ids]
+
+
+def test_packing_other_tokenizers(tmp_path):
+    """Words go to the tokenizer where it does more than split, map bytes and merge; pairs written as one string are read too."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    text = "Some plain words, and Others. they come  twice"
+    for name, change in {"same": {}, "pairs": {"merges": [" ".join(m) for m in spec["model"]["merges"]]}, "whole": {"ignore_merges": True}}.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | {"model": spec["model"] | change}), encoding="utf-8")
+        own = packing.Encoder(str(path))
+        assert (own.merges is None) == (name == "whole") and own.encode([text]) == own._single([text])
+
+
 def test_packing_forgotten():
     """A worker that turns to another operator gives up what packing has left in it; packing's own tasks go on with it."""
     import public_tokenizers
