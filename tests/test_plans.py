@@ -19,3 +19,14 @@ def test_dealt_copies_are_not_broadcast(spark, name):
 def test_all_sizes_of_runs_read_the_events_once(spark):
     text = plan(spark, "ngram_entropy")
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize(
+    "name,exchanges",
+    [(x, 1) for x in ("boundary_metrics", "boundary_shift_null", "block_support", "eligible_shifts", "arrival_threshold2", "arrival_exclude_exact", "arrival_no_extended_left", "boundary_statistics", "edge_censor")]
+    + [(x, 2) for x in ("run_end_records", "direction_audit", "arrival_histogram", "arrival_pair_audit", "segment_inventory", "lexical_decomposition_t2", "hierarchy_validation")]
+    + [("relation_summary", 3)],
+)
+def test_words_are_not_shuffled_nor_read_twice(spark, name, exchanges):
+    text = plan(spark, name)
+    assert text.count("FileScan") == 1 and text.count("Exchange") == exchanges and "BroadcastHashJoin" not in text
