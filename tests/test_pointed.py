@@ -5,6 +5,7 @@ import json
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom import catalog
 from seqloom.functions import pointed as H
@@ -117,3 +118,24 @@ def test_tables_of_text(spark, tmp_path):
     titles = spark.createDataFrame([("Mechon-Mamre, v2", "mechon mamre V2"), ("a", "b")], "x string, y string")
     assert [r[0] for r in titles.select(tables.same_version("x", "y")).collect()] == [True, False]
     assert tables.canonical_hash({"b": 1, "a": "é"}) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["pointed_letters", "pointed_units", "pointed_mark_names", "pointed_cleanup", "pointed_validation"])
+def test_texts_do_not_pass_through_python(spark, name):
+    text = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in text
+
+
+def test_summary_composes_without_python(spark):
+    text = catalog.queries()["pointed_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "nfc" not in text and text.count("ArrowEvalPython") == 1
+
+
+def test_composed_as_python_does(spark):
+    import unicodedata
+
+    from seqloom.functions import pointed
+
+    texts = [None, "", "ascii", "éà", "שּׁ", "אַשׁ", "ẛ̣", "각", "\U0001d15e", "ַּ֑"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(pointed.composed(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [t and unicodedata.normalize("NFC", t) for t in texts]
