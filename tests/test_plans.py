@@ -30,3 +30,18 @@ def test_all_sizes_of_runs_read_the_events_once(spark):
 def test_words_are_not_shuffled_nor_read_twice(spark, name, exchanges):
     text = plan(spark, name)
     assert text.count("FileScan") == 1 and text.count("Exchange") == exchanges and "BroadcastHashJoin" not in text
+
+
+def test_tasks_grow_with_the_input(spark, monkeypatch):
+    from seqloom.sources import tables
+
+    parts = lambda: tables.document_texts(spark, SF).rdd.getNumPartitions()
+    assert parts() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(tables, "TASK_BYTES", 10_000)
+    assert parts() > 10
+
+
+@pytest.mark.parametrize("name", ["interval_ngrams_2", "interval_ngrams_3", "interval_null_shuffle", "interval_null_cyclic", "interval_contrast_null"])
+def test_intervals_are_not_shuffled(spark, name):
+    text = plan(spark, name)
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
